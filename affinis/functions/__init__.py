@@ -1 +1 @@
-
+"""Column functions: serialization, exact decimals, compressed sizes."""

@@ -1 +1 @@
-
+"""Operators on DataFrames of objects, pairs, ranks, trees and clusters."""

@@ -1 +1 @@
-
+"""Distances of arriving objects."""
