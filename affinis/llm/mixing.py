@@ -74,7 +74,7 @@ def draws(quotas: np.ndarray, per_shard: int, seed: int) -> np.ndarray:
             need -= int(more.sum())
         out.append(got)
         left -= got
-    return np.array(out, np.int64).reshape(-1, len(left))
+    return np.array(out, np.int64).reshape(len(out), len(left))
 
 
 def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:

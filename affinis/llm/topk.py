@@ -57,18 +57,18 @@ def _scored(batches, queries: np.ndarray, ids: np.ndarray, exact_float: bool):
             yield own, (q @ (m.astype(np.float64) if exact_float else m).T).astype(np.int64), own[None, :] != ids[:, None]
 
 
-def _round(rows: DataFrame, block, low: np.ndarray, width: np.ndarray, need: np.ndarray, buckets: int) -> list:
-    """For each query the bucket with the kth highest score and the count above it; -1 if there are too few."""
+def _round(rows: DataFrame, block, low: np.ndarray, span: np.ndarray, width: np.ndarray, need: np.ndarray, buckets: int) -> list:
+    """For each query that has enough candidates, the bucket of low .. low + span with the kth highest score, and the count above it."""
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast((*block, low, width, need))
+    held = spark.sparkContext.broadcast((*block, low, span, width, need))
 
     def run(batches):
-        queries, ids, exact_float, low, width, need = held.value
+        queries, ids, exact_float, low, span, width, need = held.value
         counts = np.zeros((len(ids), buckets), np.int64)
         base = np.arange(len(ids))[:, None] * buckets
         for _, scores, other in _scored(batches, queries, ids, exact_float):
             at = (scores - low[:, None]) // width[:, None]
-            inside = other & (at >= 0) & (at < buckets)
+            inside = other & (scores >= low[:, None]) & (scores - low[:, None] < span[:, None])  # what is higher was counted before
             counts += np.bincount((base + at)[inside], minlength=counts.size).reshape(counts.shape)
         above = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
         q, b = np.nonzero((counts > 0) & (above < need[:, None]))
@@ -89,7 +89,7 @@ def _block_result(rows: DataFrame, queries: np.ndarray, ids: np.ndarray, exact_f
     open_ = np.ones(len(ids), bool)
     while open_.any():
         width = np.maximum(1, -(-span // BUCKETS))
-        found = {r["q"]: (r["b"], r["above"]) for r in _round(rows, block, low, width, np.where(open_, need, 0), BUCKETS)}
+        found = {r["q"]: (r["b"], r["above"]) for r in _round(rows, block, low, span, width, np.where(open_, need, 0), BUCKETS)}
         for i in np.flatnonzero(open_).tolist():
             if i not in found:  # fewer candidates than k: all of them
                 open_[i] = False
