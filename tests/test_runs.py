@@ -1,0 +1,231 @@
+"""Estimates, runs, resumption, results, partitions, the command line, streams."""
+
+import csv
+import hashlib
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from affinis.api import Execution, Limits, estimate, load_result, partition_dataset, run
+from affinis.errors import AffinisError, ArtifactValidationError, CheckpointMismatchError, CompressionError, ConfigurationError, DatasetFormatError, OutputDirectoryConflictError, ResourceLimitError
+from affinis.functions import codecs as C
+from affinis.plans import cli
+from affinis.plans import run as R
+from affinis.streaming import arrivals
+
+
+def clustered(path, columns=6, rows=20):
+    token = ["qwertyuiopasdfghjklzxcvb", "mnbvcxzlkjhgfdsapoiuytre"]
+    with open(path, "w") as out:
+        out.write(",".join(f"feature_{k + 1:06d}" for k in range(columns)) + "\n")
+        for r in range(rows):
+            out.write(",".join(f"{token[k % 2]}{hashlib.md5(f'{r % 2}'.encode()).hexdigest()[:24]}{(r * 31 + k * 17 + r * k) % 97:02d}" for k in range(columns)) + "\n")
+    return path
+
+
+@pytest.fixture(scope="module")
+def finished(spark, tmp_path_factory):
+    root = tmp_path_factory.mktemp("run")
+    source = clustered(root / "x.csv")
+    return source, run(source, output_dir=root / "out", save_diagnostics=True, spark=spark)
+
+
+def test_planted_groups_are_found(finished):
+    _, result = finished
+    group = {r.object_id: int(r.object_id[-1]) % 2 for r in result.membership.itertuples()}
+    for members in result.clusters.values():
+        assert len({group[i] for i in members}) == 1
+    assert result.report.status == "completed" and all(result.report.verification.values()) and len(result.report.verification) == 8
+    assert result.tree_newick.endswith(";") and result.distance_matrix.shape == (6, 6) and result.report.timings_seconds.keys() == {"normalize", "distance", "tree", "cluster", "verify"}
+
+
+def test_completed_runs_are_loaded_saved_and_guarded(spark, finished, tmp_path):
+    source, result = finished
+    before = (result.run_dir / "manifest.json").read_bytes()
+    again = run(source, output_dir=result.run_dir, save_diagnostics=True, spark=spark)
+    assert again.membership.equals(result.membership) and (result.run_dir / "manifest.json").read_bytes() == before
+    saved = result.save(tmp_path / "copy")
+    assert load_result(saved, spark).clusters == result.clusters
+    with pytest.raises(OutputDirectoryConflictError):
+        result.save(tmp_path / "copy")
+    with pytest.raises(OutputDirectoryConflictError):
+        run(source, output_dir=result.run_dir, num_clusters=2, spark=spark)
+    with pytest.raises(OutputDirectoryConflictError):
+        run(source, output_dir=result.run_dir, save_diagnostics=True, execution=Execution(reuse_completed=False), spark=spark)
+    (saved / "membership.csv").write_text("object_id,label,cluster\n")
+    with pytest.raises(ArtifactValidationError):
+        load_result(saved, spark)
+    rows = list(csv.DictReader(open(result.run_dir / "diagnostics" / "ncd-pairs.csv")))
+    assert len(rows) == 15 and float(rows[0]["ncd"]) == result.matrix[0, 1]
+
+
+def test_a_stopped_run_goes_on_to_the_same_bytes(spark, finished, tmp_path, monkeypatch):
+    source, result = finished
+
+    def broken(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setitem(R._STAGES, "cluster", broken)
+    with pytest.raises(KeyboardInterrupt):
+        run(source, output_dir=tmp_path / "out", save_diagnostics=True, spark=spark)
+    manifest = json.loads((tmp_path / "out" / "manifest.json").read_text())
+    assert manifest["status"] == "interrupted" and manifest["failed_stage"] == "cluster" and manifest["stages"]["tree"]["status"] == "completed"
+    monkeypatch.undo()
+    with pytest.raises(OutputDirectoryConflictError):
+        run(source, output_dir=tmp_path / "out", save_diagnostics=True, execution=Execution(resume=False), spark=spark)
+    other = run(source, output_dir=tmp_path / "out", save_diagnostics=True, spark=spark)
+    for name in ("distance.npy", "labels.json", "tree.json", "tree.nwk", "membership.csv", "clusters.json", "diagnostics/distance.csv"):
+        assert (other.run_dir / name).read_bytes() == (result.run_dir / name).read_bytes()
+
+
+def test_changed_checkpoints_are_refused(spark, finished, tmp_path, monkeypatch):
+    source, _ = finished
+    monkeypatch.setitem(R._STAGES, "tree", lambda *_: (_ for _ in ()).throw(ValueError("stop")))
+    with pytest.raises(ValueError):
+        run(source, output_dir=tmp_path / "out", spark=spark)
+    monkeypatch.undo()
+    report = json.loads((tmp_path / "out" / "report.json").read_text())
+    assert report["status"] == "failed" and report["failed_stage"] == "tree" and report["error"]["message"] == "ValueError"
+    (tmp_path / "out" / "labels.json").write_text("{}")
+    with pytest.raises(CheckpointMismatchError):
+        run(source, output_dir=tmp_path / "out", spark=spark)
+
+
+def test_run_identity_is_of_what_is_computed():
+    config = {"compressor": "zlib", "workers": 1, "limits": {}}
+    assert R.identity("h", config) == R.identity("h", {**config, "workers": 9}) and R.identity("h", config) != R.identity("h", {**config, "compressor": "gzip"})
+    assert len(R.identity("h", config)[1]) == 16
+
+
+def test_estimate_formulas(spark, tmp_path):
+    for k, size in enumerate((10, 30, 20)):
+        (tmp_path / f"f{k}").write_bytes(b"x" * size)
+    e = estimate([tmp_path], source_kind="files", compressor="zlib", save_diagnostics=True, spark=spark)
+    assert (e.object_count, e.pair_count, e.matrix_bytes, e.normalized_bytes, e.max_pair_bytes, e.compression_input_bytes) == (3, 3, 72, 60, 50, 3 * 60 + 60)
+    assert e.estimated_final_metadata_bytes == 1_048_576 + 3 * 4096 + 8 * 6 and e.estimated_diagnostic_bytes == 9 * 32 + 3 * 96 + 12
+    assert e.estimated_artifact_bytes == 60 + 144 + 3 * 256 + e.estimated_final_metadata_bytes + e.estimated_diagnostic_bytes and e.within_limits
+    tight = estimate([tmp_path], source_kind="files", compressor="zlib", execution=Execution(limits=Limits(max_objects=2, max_pairs=1, max_pair_window_factor=0.001)), spark=spark)
+    assert tight.violations == ("max_objects", "max_pairs", "compressor_window") and not tight.within_limits
+    with pytest.raises(ResourceLimitError) as caught:
+        run([tmp_path], source_kind="files", compressor="zlib", output_dir=tmp_path / "out", execution=Execution(limits=Limits(max_objects=2)), spark=spark)
+    assert caught.value.context["estimate"].violations == ("max_objects",) and not (tmp_path / "out").exists()
+
+
+def test_arguments_that_do_not_apply_are_refused(spark, tmp_path):
+    source = clustered(tmp_path / "x.csv", 3, 3)
+    for bad in ({"source_kind": "xlsx", "delimiter": ";"}, {"source_kind": "files", "split": "rows"}, {"source_kind": "nope"}, {"compressor": "zip"}, {"compressor": "zlib", "ppmd_order": 3}, {"sheet": "x"}):
+        with pytest.raises(ConfigurationError):
+            estimate(source, spark=spark, **bad)
+    for k in (0, True, 9):
+        with pytest.raises(ConfigurationError):
+            run(source, output_dir=tmp_path / "out", num_clusters=k, spark=spark)
+
+
+def test_tables_run_too(spark, tmp_path):
+    df = spark.createDataFrame([(k, "".join(hashlib.md5(f"{k % 2}{j}{k if j % 5 == 0 else ''}".encode()).hexdigest() for j in range(9 + k))) for k in range(8)], "k int, text string")
+    result = run(df, source_kind="table", split="rows", order_by="k", compressor="zlib", output_dir=tmp_path / "out", spark=spark)
+    assert len(result.membership) == 8 and result.membership["object_id"][0] == "row_000001"
+
+
+# ---- partitions ----
+
+
+def test_partition_files(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("id,score,text\n" + "".join(f'r{k},{s},"t{k}, ""q"""\n' for k, s in enumerate([5, 1, 9, 3, 7, 2, 8, 4, 6, 0])))
+    out = partition_dataset(tmp_path / "x.csv", tmp_path / "out", column="score", quantiles=[2, 4], percentiles=[20], jenks_classes=[2], spark=spark)
+    names = [f["path"] for f in out.files]
+    assert names == ["quantile_02_high.csv", "quantile_02_low.csv", "quantile_04_high.csv", "quantile_04_low.csv", "percentile_20_high.csv", "percentile_20_low.csv", "jenks_02_high.csv", "jenks_02_low.csv"]
+    rows = list(csv.reader(open(tmp_path / "out" / "quantile_02_high.csv", newline="")))
+    assert rows[0] == ["id", "score", "text"] and [r[1] for r in rows[1:]] == ["5", "9", "7", "8", "6"] and rows[1][2] == 't0, "q"'
+    for f in out.files:
+        data = (tmp_path / "out" / f["path"]).read_bytes()
+        assert len(data) == f["size_bytes"] and hashlib.sha256(data).hexdigest() == f["sha256"] and data.count(b"\n") == f["rank_end"] - f["rank_start"] + 1
+    manifest = json.loads(out.manifest_path.read_text())
+    assert manifest["row_count"] == 10 and manifest["decimal"] == "." and manifest["files"] == list(out.files)
+    with pytest.raises(OutputDirectoryConflictError):
+        partition_dataset(tmp_path / "x.csv", tmp_path / "out", column="score", spark=spark)
+
+
+@pytest.mark.parametrize("how, error", [
+    ({"column": "none"}, DatasetFormatError), ({"column": "text"}, DatasetFormatError), ({"column": "score", "quantiles": [1]}, ConfigurationError), ({"column": "score"}, DatasetFormatError),
+    ({"column": "score", "quantiles": (), "percentiles": (), "jenks_classes": (9,)}, DatasetFormatError), ({"column": "score", "decimal": ";"}, ConfigurationError),
+])
+def test_partition_refusals_come_before_files(spark, tmp_path, how, error):
+    (tmp_path / "x.csv").write_text("score,text\n" + "".join(f"{k % 5},t{k}\n" for k in range(20)))
+    with pytest.raises(error):
+        partition_dataset(tmp_path / "x.csv", tmp_path / "out", spark=spark, **how)
+    assert not (tmp_path / "out").exists()
+
+
+# ---- command line, stream, registry ----
+
+
+def test_command_line(spark, tmp_path, capsys):
+    source = clustered(tmp_path / "x.csv", 4, 6)
+    assert cli.main(["estimate", str(source), "--compressor", "zlib", "--json"]) == 0
+    assert json.loads(capsys.readouterr().out)["object_count"] == 4
+    assert cli.main(["run", str(source), "--compressor", "zlib", "--output-dir", str(tmp_path / "out"), "--no-progress"]) == 0
+    assert capsys.readouterr().out.strip() == str((tmp_path / "out").resolve())
+    codes = [["estimate", str(tmp_path / "none")], ["run", str(source), "--max-objects", "2"], ["run", str(source), "--compressor", "zlib", "--clusters", "2", "--output-dir", str(tmp_path / "out")]]
+    assert [cli.main(c) for c in codes] == [2, 3, 5]
+    assert json.loads(capsys.readouterr().err.strip().splitlines()[-1])["error"]["code"] == "output_directory_conflict_error"
+
+
+def test_arrivals_measure_each_pair_once(spark, tmp_path):
+    data = {f"o{k}": bytes([65 + k % 3]) * 40 + bytes(range(k + 1)) for k in range(7)}
+    schema = "object_id string, payload binary"
+    for k, names in enumerate((["o0", "o1"], ["o2", "o3", "o4"], ["o5", "o6", "o0"])):
+        spark.createDataFrame([(n, data[n]) for n in names], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = arrivals.watch(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/objects", f"{tmp_path}/pairs", C.Zlib(), f"{tmp_path}/checkpoint")
+        q.processAllAvailable()
+        q.stop()
+    out = {(r["i"], r["j"]): r["ncd"] for r in spark.read.parquet(f"{tmp_path}/pairs").collect()}
+    names = sorted(data)
+    c = {n: C.compressed_size([data[n]], C.Zlib()) for n in names}
+    assert out == {(a, b): (C.compressed_size([data[a], data[b]], C.Zlib()) - min(c[a], c[b])) / max(c[a], c[b]) for i, a in enumerate(names) for b in names[i + 1 :]}
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 21
+
+
+def test_oracles_agree(spark, tiny):
+    import duckdb
+
+    from affinis import queries
+
+    con = duckdb.connect()
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tiny}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        ours = queries.QUERIES[name](spark, tiny)
+        columns = sorted(ours.columns)
+        theirs = con.sql(sql).df()
+        assert sorted(theirs.columns) == columns, name
+        assert sorted(map(tuple, ours.select(columns).toPandas().astype(str).values.tolist())) == sorted(map(tuple, theirs[columns].astype(str).values.tolist())), name
+
+
+def test_entry_and_the_rest_run(spark, tiny):
+    from affinis import queries
+
+    assert queries.flagship(spark, tiny).count() == spark.read.parquet(f"{tiny}/benchmark.parquet").count()
+    for name in set(queries.QUERIES) - set(queries.ORACLES) - {"ncd_documents", "clusters_benchmark", "trees_by_nation"}:
+        assert queries.QUERIES[name](spark, tiny).count() > 0, name
+
+
+def test_missing_codec_is_refused_not_replaced(spark, tmp_path):
+    try:
+        import pyppmd  # noqa: F401
+    except ImportError:
+        with pytest.raises((CompressionError, AffinisError)):
+            run(clustered(tmp_path / "x.csv"), compressor="ppmd", output_dir=tmp_path / "out", spark=spark)
+        assert not (tmp_path / "out").exists()
+
+
+def test_jenks_query_against_the_kernel(spark, tiny):
+    from affinis import queries
+    from affinis.operators.breaks import natural_breaks
+
+    cents = spark.read.parquet(f"{tiny}/lineitem.parquet").select(F.round(F.col("l_extendedprice") * 100).cast("long").alias("v")).groupBy("v").count().orderBy(F.desc("v")).collect()
+    weights = [r["count"] for r in cents]
+    expected = natural_breaks([r["v"] for r in cents], weights, 5)
+    found = [(r["rank_start"], r["rank_end"]) for r in queries.jenks_lineitem_price(spark, tiny).collect()]
+    assert found == [(sum(weights[:a]), sum(weights[:b])) for bounds in expected for a, b in (bounds[:2], bounds[-2:])]

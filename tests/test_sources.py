@@ -1,0 +1,177 @@
+"""Readers and objects."""
+
+import datetime as dt
+import hashlib
+import json
+import zipfile
+
+import pytest
+from pyspark.sql import functions as F
+
+from affinis.config import Delimited, Files, Table, Workbook
+from affinis.errors import DatasetFormatError, InputValidationError
+from affinis.operators import objects as O
+from affinis.plans.inputs import scan
+from affinis.sources import corpus, delimited, tables, workbook
+
+
+def payloads(objects):
+    return [(r["object_id"], r["label"], bytes(r["payload"])) for r in objects.orderBy("object_idx").collect()]
+
+
+def test_canonical_objects(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b'name,note\nAna,"a,b"\nBia,""\n')
+    columns = scan(spark, tmp_path / "x.csv", Delimited())
+    assert payloads(columns.objects) == [("column_000001", "name", b'"Ana"\n"Bia"\n'), ("column_000002", "note", b'"a,b"\n""\n')]
+    rows = scan(spark, tmp_path / "x.csv", Delimited(split="rows"))
+    assert payloads(rows.objects) == [("row_000001", "row_000001", b'["Ana","a,b"]\n'), ("row_000002", "row_000002", b'["Bia",""]\n')]
+    for r in columns.objects.collect():
+        assert r["sha256"] == hashlib.sha256(r["payload"]).hexdigest() and r["size_bytes"] == len(r["payload"])
+
+
+def test_text_stays_as_it_is(spark, tmp_path):
+    wide = "w" * 200_000
+    (tmp_path / "x.csv").write_bytes(f'﻿a,b\n"line1\nline2","say ""hi"" ☃"\n\n{wide},\x1b\n 1 ,NA\n'.encode())
+    header, rows = delimited.read(spark, tmp_path / "x.csv", Delimited())
+    assert header == ["a", "b"]
+    assert [r["cells"] for r in rows.orderBy("row_idx").collect()] == [["line1\nline2", 'say "hi" ☃'], ["", ""], [wide, "\x1b"], [" 1 ", "NA"]]
+    found = payloads(O.by_rows(rows))
+    assert found[0][2] == b'["line1\\nline2","say \\"hi\\" \xe2\x98\x83"]\n' and b"\\u001b" in found[2][2]
+
+
+def test_other_delimiters_and_encodings(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes("nome;cidade\nJosé;Belém\n".encode("latin-1"))
+    header, rows = delimited.read(spark, tmp_path / "x.csv", Delimited(delimiter=";", encoding="latin-1"))
+    assert header == ["nome", "cidade"] and rows.first()["cells"] == ["José", "Belém"]
+    assert delimited.read(spark, tmp_path / "x.csv", Delimited(delimiter=";", encoding="latin-1"), columns=[1])[1].first()["cells"] == ["Belém"]
+
+
+@pytest.mark.parametrize("data, message", [
+    (b"a,b\n1,2\n3\n", "Line 3 has 1 fields but the header declares 2"), (b"a,b\n1,2,3\n", "Line 2 has 3 fields but the header declares 2"), (b"a,b\n\xff\xfe,1\n", "Delimited parsing failed|delimited header"), (b"a,b\n" + b"1,2\n" * 9000 + b"\xff,1\n", "Delimited parsing failed"),
+    (b"", "header"), (b"a,a\n1,2\n", "unique"), (b"a,\n1,2\n", "non-empty"), (b"a\n1\n", "two columns"), (b"a,b\n", "data row"),
+])
+def test_malformed_files_are_refused(spark, tmp_path, data, message):
+    (tmp_path / "x.csv").write_bytes(data)
+    with pytest.raises(DatasetFormatError, match=message) as e:
+        scan(spark, tmp_path / "x.csv", Delimited())
+    assert e.value.code == "dataset_format_error"
+
+
+def test_rows_need_two_and_paths_are_checked(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b"a,b\n1,2\n")
+    with pytest.raises(DatasetFormatError):
+        scan(spark, tmp_path / "x.csv", Delimited(split="rows"))
+    for bad in (tmp_path, tmp_path / "none.csv", [tmp_path / "x.csv"] * 2, b"x", 3):
+        with pytest.raises(InputValidationError):
+            scan(spark, bad, Delimited())
+
+
+def test_tables_become_text_in_order(spark):
+    df = spark.createDataFrame([(3, None, 1.5), (1, "x", None), (2, "y", 2.0)], "k int, t string, v double")
+    header, rows = tables.read(df.repartition(3), Table(("k",)))
+    assert header == ["k", "t", "v"] and [r["cells"] for r in rows.orderBy("row_idx").collect()] == [["1", "x", ""], ["2", "y", "2.0"], ["3", "", "1.5"]]
+    with pytest.raises(DatasetFormatError):
+        tables.read(df, Table(("zz",)))
+
+
+def test_objects_do_not_depend_on_partitions(spark):
+    df = spark.range(500).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("s"))
+    found = [payloads(O.from_dataset(*tables.read(df.repartition(n), Table(("id",))), "columns")) for n in (1, 7)]
+    assert found[0] == found[1] and found[0][0][2].count(b"\n") == 500
+
+
+def test_digest_and_peak(spark, tmp_path):
+    for name, data in (("b", b"bb"), ('a"q', b"a")):
+        (tmp_path / name).write_bytes(data)
+    root, files = corpus.read(spark, [tmp_path], Files())
+    objects = O.from_files(files)
+    lines = "".join(json.dumps([r["label"], r["size_bytes"], r["sha256"]], ensure_ascii=False, separators=(",", ":")) + "\n" for r in objects.orderBy("object_idx").collect())
+    assert O.set_digest(objects).first()["sha256"] == hashlib.sha256(lines.encode()).hexdigest() and root == tmp_path.resolve()
+    _, rows = tables.read(spark.createDataFrame([(k, "x" * k) for k in range(5)], "k int, s string"), Table(("k",)))
+    assert O.chunk_peak(rows, "rows", 2).first()[0] == max(sum(len(json.dumps([str(k), "x" * k], separators=(",", ":"))) + 1 for k in own) for own in ((0, 1), (2, 3), (4,)))
+
+
+def test_corpus_rules(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    for name in ("z", "_u", "d/a", ".h", "d/.i"):
+        (tmp_path / name).write_bytes(name.encode())
+    assert [x for x, _ in corpus.listing([tmp_path], Files())[1]] == ["_u", "d/a", "z"]
+    assert [x for x, _ in corpus.listing([tmp_path], Files(recursive=False, include_hidden=True))[1]] == [".h", "_u", "z"]
+    root, found = corpus.listing([tmp_path / "d" / "a", tmp_path / "z"], Files())
+    assert root == tmp_path.resolve() and [x for x, _ in found] == ["d/a", "z"]
+    assert payloads(O.from_files(corpus.read(spark, [tmp_path], Files())[1]))[0] == ("file_000001", "_u", b"_u")
+    for bad in ([tmp_path / "z", tmp_path / "z"], [tmp_path / "z"], [tmp_path / "none"], []):
+        with pytest.raises(InputValidationError):
+            corpus.listing(bad, Files())
+    (tmp_path / "e").write_bytes(b"")
+    with pytest.raises(InputValidationError, match="empty"):
+        corpus.listing([tmp_path], Files())
+    (tmp_path / "e").unlink()
+    (tmp_path / "l").symlink_to(tmp_path / "z")
+    with pytest.raises(InputValidationError, match="symlink"):
+        corpus.listing([tmp_path], Files())
+
+
+# ---- workbooks ----
+
+_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def book(path, sheets, shared=(), date1904=False):
+    """A small .xlsx; style 1 is a date, 2 a custom date-time, 3 a duration."""
+    with zipfile.ZipFile(path, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{k}" r:id="r{k}"/>' for k, n in enumerate(sheets, 1))
+        pr = '<workbookPr date1904="1"/>' if date1904 else ""
+        z.writestr("xl/workbook.xml", f'<workbook {_NS} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships">{pr}<sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Target="worksheets/s{k}.xml"/>' for k in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/styles.xml", f'<styleSheet {_NS}><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd hh:mm"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="46"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {_NS}>" + "".join(f"<si><t>{s}</t></si>" for s in shared) + "</sst>")
+        for k, data in enumerate(sheets.values(), 1):
+            z.writestr(f"xl/worksheets/s{k}.xml", f"<worksheet {_NS}><sheetData>{data}</sheetData></worksheet>")
+
+
+def test_cell_text_rule():
+    table = [
+        (None, ""), (True, "TRUE"), (False, "FALSE"), ("x ", "x "), (42, "42"), (42.0, "42"), (-0.0, "0"), (0.1, "0.1"), (1e16, "10000000000000000"), (1.5e-7, "1.5e-07"),
+        (dt.datetime(2024, 1, 2, 3, 4, 5, 600), "2024-01-02T03:04:05"), (dt.date(2024, 1, 2), "2024-01-02T00:00:00"), (dt.time(3, 4, 5), "03:04:05"),
+    ]
+    assert [workbook.cell_text(v) for v, _ in table] == [t for _, t in table]
+    for bad in (float("nan"), float("inf"), dt.timedelta(hours=30), b"x"):
+        with pytest.raises(DatasetFormatError):
+            workbook.cell_text(bad)
+
+
+def test_worksheet_equals_its_text_twin(spark, tmp_path):
+    rows = (
+        '<row r="3"><c r="B3" t="s"><v>0</v></c><c r="C3" t="inlineStr"><is><r><t>be</t></r><r><t>ta</t></r></is></c><c r="D3" t="s"><v>1</v></c></row>'
+        '<row r="4"><c r="B4"><v>42.0</v></c><c r="C4" t="b"><v>1</v></c><c r="D4" s="1"><v>45293</v></c></row>'
+        '<row r="6"><c r="B6" t="str"><f>A1+1</f><v>2</v></c><c r="D6" s="2"><v>45293.5</v></c><c r="H40" s="1"/></row>'
+    )
+    book(tmp_path / "x.xlsx", {"one": rows}, ("alpha", "gamma"))
+    (tmp_path / "x.csv").write_text('alpha,beta,gamma\n42,TRUE,2024-01-02T00:00:00\n\n=A1+1,,2024-01-02T12:00:00\n')
+    a, b = scan(spark, tmp_path / "x.xlsx", Workbook()), scan(spark, tmp_path / "x.csv", Delimited())
+    assert payloads(a.objects) == payloads(b.objects) and a.description["sheet"] == "one"
+
+
+def test_sheets_and_refusals(spark, tmp_path):
+    cell = '<row r="1"><c r="A1" t="str"><v>a</v></c></row>'
+    book(tmp_path / "x.xlsx", {"one": cell, "two": "", "dur": '<row r="1"><c r="A1" s="3"><v>1.5</v></c></row>'})
+    with pytest.raises(DatasetFormatError, match="one, two"):
+        workbook.read(spark, tmp_path / "x.xlsx", Workbook())
+    with pytest.raises(DatasetFormatError, match="one, two"):
+        workbook.read(spark, tmp_path / "x.xlsx", Workbook(sheet="three"))
+    with pytest.raises(DatasetFormatError, match="no data"):
+        workbook.read(spark, tmp_path / "x.xlsx", Workbook(sheet="two"))
+    with pytest.raises(DatasetFormatError, match="timedelta"):
+        workbook.read(spark, tmp_path / "x.xlsx", Workbook(sheet="dur"))
+    (tmp_path / "y.xls").write_bytes(b"x")
+    (tmp_path / "z.xlsx").write_bytes(b"x")
+    for name in ("y.xls", "z.xlsx"):
+        with pytest.raises(DatasetFormatError):
+            workbook.Book(tmp_path / name)
+
+
+def test_dates_of_both_systems():
+    assert workbook.moment(1.0, False) == dt.datetime(1900, 1, 1) and workbook.moment(61.0, False) == dt.datetime(1900, 3, 1)
+    assert workbook.moment(0.5, False) == dt.time(12) and workbook.moment(1.25, True) == dt.datetime(1904, 1, 2, 6)
+    assert workbook.shows("[h]:mm") == "duration" and workbook.shows('"day" 0') is None and workbook.shows("General") is None and workbook.shows("m/d/yy") == "date"
