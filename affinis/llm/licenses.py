@@ -2,7 +2,7 @@ r"""Licence scans by canonical digest lookup.
 
 A unit of text (a whole document, a paragraph or a line of it) is made canonical: lines of copyright notices go, case and
 punctuation go, equivalent spellings become one, white space becomes one space. Its SHA-256 is looked up
-by a hash join among the digests of known licence texts and notices, made canonical by the same expressions. Only
+by a hash join among the digests of known licence texts and notices, made canonical by the same function. Only
 entire units match; there is no partial or fuzzy match.
 
 Defined cases: null text counts as empty; the empty canonical text never matches; repeated rows are scanned each; texts
@@ -11,7 +11,11 @@ of any length are read whole; an empty table gives an empty result; extra column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Spellings that mean the same, after lower-casing and removal of punctuation (whole words).
@@ -61,35 +65,59 @@ KNOWN = (
 COPYRIGHT_LINE = r"^[^a-z0-9©(]*(copyright +(\(c\)|©|[0-9]{4}|by )|\(c\) *[0-9]{4}|© *[0-9]{4}|all rights reserved)"
 
 
-def plain(text: Column) -> Column:
-    """Of lower-case text: words only, equivalent spellings alike."""
-    out = F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]+", " "), F.lit(" "))
-    for a, b in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+_copyright = re.compile(COPYRIGHT_LINE)
+_other = re.compile("[^a-z0-9]+")
+_paragraph = re.compile(r"\n[ \t\r]*\n")
+_equivalent = [(a, re.compile(rf"\b{a}\b"), b) for a, b in EQUIVALENT]
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: str) -> str:
     """The canonical form of a unit of text."""
-    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT_LINE))
-    return plain(F.array_join(lines, " "))
+    lines = [line for line in text.lower().split("\n") if not _copyright.match(line)]
+    out = _other.sub(" ", " ".join(lines)).strip()
+    for a, word, b in _equivalent:
+        if a in out:
+            out = word.sub(b, out)
+    return out
+
+
+def digest(text: str) -> str:
+    return hashlib.sha256(canonical(text).encode()).hexdigest()
+
+
+def units(text: str) -> list[str]:
+    """What can match: the whole, lines, paragraphs of several lines; a unit that is more than one of these counts once."""
+    found = dict.fromkeys([text, *text.split("\n")])
+    if "\n" in text:
+        found.update(dict.fromkeys(p for p in _paragraph.split(text) if "\n" in p))
+    return list(found)
 
 
 def known(spark) -> DataFrame:
     """digest, license: bounded by KNOWN."""
-    rows = spark.createDataFrame([(a, b) for a, b in KNOWN], "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").distinct()
+    rows = sorted({(digest(text), name) for name, text in KNOWN})
+    return spark.createDataFrame(rows, "digest string, license string")
 
 
 def scan(documents: DataFrame) -> DataFrame:
     """doc_id, text_digest (of the whole canonical text), licenses (sorted, comma between), n_units (units that match)."""
-    row = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_row", F.monotonically_increasing_id())
-    # what can match: lines, paragraphs of several lines, the whole; a unit that is more than one of these counts once
-    paragraphs = F.filter(F.split("text", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = row.select("_row", "doc_id", F.sha2(canonical(F.col("text")), 256).alias("text_digest"), F.explode(F.array_union(F.array("text"), F.concat(F.split("text", "\n"), paragraphs))).alias("unit"))
-    digest = F.sha2(canonical(F.col("unit")), 256)
-    # a unit without the word that all known texts have is not worth a digest
-    hit = units.withColumn("digest", F.when(F.lower("unit").rlike(MARK), digest)).join(F.broadcast(known(documents.sparkSession)), "digest", "left")
+    kind = dict(documents.dtypes)["doc_id"]
+
+    def run(batches):
+        mark = re.compile(MARK)
+        for batch in batches:
+            whole, own = [], []
+            for text in batch.column("text").to_pylist():
+                text = text or ""
+                first = digest(text)
+                whole.append(first)
+                # a unit without the words that all known texts have is not worth a digest
+                own.append([first if u is text else digest(u) for u in units(text) if mark.search(u.lower())] if mark.search(text.lower()) else [])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole), pa.array(own, pa.list_(pa.string()))], ["doc_id", "text_digest", "digests"])
+
+    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_digest string, digests array<string>")
+    each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "text_digest", F.explode_outer("digests").alias("digest"))
+    hit = each.join(F.broadcast(known(documents.sparkSession)), "digest", "left")
     found = hit.groupBy("_row", "doc_id", "text_digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.count("license").alias("n_units"))
     return found.select("doc_id", "text_digest", "licenses", "n_units")
 
@@ -105,10 +133,10 @@ def oracle() -> str:
 
     def canon(x: str) -> str:
         lines = f"list_filter(string_split(lower({x}), chr(10)), lambda l: NOT regexp_matches(l, {text(COPYRIGHT_LINE)}))"
-        out = f"' ' || regexp_replace(array_to_string({lines}, ' '), '[^a-z0-9]+', ' ', 'g') || ' '"
+        out = f"trim(regexp_replace(array_to_string({lines}, ' '), '[^a-z0-9]+', ' ', 'g'))"
         for a, b in EQUIVALENT:
-            out = f"replace({out}, {text(f' {a} ')}, {text(f' {b} ')})"
-        return f"trim({out})"
+            out = f"regexp_replace({out}, '\\b{a}\\b', '{b}', 'g')"
+        return out
 
     values = ", ".join(f"({text(a)}, {text(b)})" for a, b in KNOWN)
     return f"""
