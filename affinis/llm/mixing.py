@@ -216,9 +216,9 @@ def mix(documents: DataFrame, **how) -> DataFrame:
     sizes = written(measured(documents), "sizes")
     plan = Plan(sizes, **how)
     rows = _with_source(numbered(sizes), plan)
-    slots = plan.slot_table().groupBy("_k", "_block").agg(F.collect_list("_words").alias("_takes"))  # a block is in `most` passes at most
+    slots = plan.slot_table().groupBy("_k", "_block").agg(F.collect_list("_words").alias("_takes"))  # a block is in few passes
     got = (
-        _pieces(rows, plan.block_words).join(slots, ["_k", "_block"])
+        _pieces(rows, plan.block_words).join(slots.hint("merge"), ["_k", "_block"])  # its size is that of the mix, though Spark thinks it small
         .select("_k", "_bucket", "_nth", F.aggregate("_takes", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least(F.col("_len"), w - F.col("_at")))).alias("n"))
         .groupBy("_k", "_bucket", "_nth").agg(F.sum("n").alias("taken"))
     )
@@ -235,7 +235,7 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     plan = Plan(measured(documents), **how)
     rows = _with_source(numbered(measured(documents.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), "text", "_row")), plan)
     spans = (
-        _pieces(rows.drop("_row", "text"), plan.block_words).join(plan.slot_table(), ["_k", "_block"])
+        _pieces(rows.drop("_row", "text"), plan.block_words).join(plan.slot_table().hint("merge"), ["_k", "_block"])
         .withColumn("_take", F.least(F.col("_len"), F.col("_words") - F.col("_at"))).where("_take > 0")
         .groupBy("_k", "_bucket", "_nth").agg(F.collect_list(F.struct("_pass", "_from", "_take")).alias("_spans"))
     )
