@@ -192,6 +192,20 @@ def test_pages_odd(spark):
     assert wrappers.main_text(df.limit(0)).collect() == []
 
 
+def test_telling_names(spark):
+    """Classes of the page's frame don't hide the article; comments, forms, notices and menus go wherever they stand."""
+    rows, truth = [], {}
+    for k in range(8):
+        body = (
+            f"<div class='wrap with-sidebar'><header><h2>Site</h2></header><div class=cookie-notice>ok {k}?</div><main class='search-results'><article class='post'><header class='article-header'><h1>Head {k}</h1></header>"
+            f"<p>one {k}</p><form><label>mail</label><input><button>send</button></form><ul><li>item {k}</li></ul><div class='share social'>share</div><aside>side</aside><table><tr><td>a<td>b</table></article>"
+            f"<section class='comments'><article class='comment'><p>nice {k}</p></article></section></main><div id='sidebar'>side {k}</div></div><footer>end</footer>"
+        )
+        rows.append((k, f"http://x.example/{k}", page(body)))
+        truth[k] = f"Head {k} one {k} item {k} a b"
+    assert extracted(spark, rows) == truth
+
+
 def test_many_rounds_of_merging(spark, monkeypatch):
     monkeypatch.setattr(wrappers, "FAN_IN", 2)
     rows = [(k, "http://one.example/", page(f"<article><p>text {k}</p>{'<ul><li>a</li></ul>' if k % 3 else ''}</article><p>out {k}</p>")) for k in range(24)]
