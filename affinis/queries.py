@@ -397,6 +397,11 @@ def ncd_benchmark(spark, sf_dir):
     return distance.distances(_benchmark(spark, sf_dir), C.Lzma())
 
 
+@query()
+def ncd_benchmark_ppmd(spark, sf_dir):
+    return distance.distances(_benchmark(spark, sf_dir), C.Ppmd())
+
+
 @query()
 def ncd_supplier_rows(spark, sf_dir):
     return distance.distances(O.by_rows(_rows(spark, sf_dir, "supplier", "s_suppkey")), C.Zlib())
@@ -423,7 +428,7 @@ def ncd_documents(spark, sf_dir):
 def _tree(spark, sf_dir) -> T.Tree:
     found = _benchmark(spark, sf_dir)
     ids = [r["object_id"] for r in found.select("object_idx", "object_id").orderBy("object_idx").collect()]
-    return T.neighbor_joining(distance.dense(distance.distances(found, C.Lzma()), len(ids)), ids)
+    return T.neighbor_joining(distance.dense(distance.distances(found, C.DEFAULT), len(ids)), ids)
 
 
 @query()
