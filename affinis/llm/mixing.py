@@ -94,11 +94,11 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def measured(documents: DataFrame, *keep: str, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, the columns to keep, _size in words, _bucket and _hash."""
+def measured(documents: DataFrame, *, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, source, _size in words, _bucket, and hashes of the text and of what else names a row."""
     return documents.select(
-        "doc_id", "source", *keep, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket"), F.xxhash64("text").alias("_hash"),
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("_bucket"), F.xxhash64("text").alias("_hash"), F.xxhash64("doc_id", "source").alias("_who"),
     )
 
 
@@ -113,7 +113,7 @@ def numbered(rows: DataFrame) -> DataFrame:
     sums = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), (F.sum("_n").over(W.partitionBy("source").orderBy("_bucket")) - F.col("_n")).alias("_start0"))
     rows = rows.withColumn("_within", F.sum("_size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("_size"))
     joined = rows.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    return joined.withColumn("_start", F.col("_within") + F.col("_start0")).drop("_s", "_b", "_start0", "_within", "_hash")
+    return joined.withColumn("_start", F.col("_within") + F.col("_start0")).drop("_s", "_b", "_start0", "_within")
 
 
 class Plan:
@@ -232,24 +232,34 @@ def mixed_documents(documents: DataFrame, **how) -> DataFrame:
     text has the words that the pass takes, in the document's order, with the white space that is between them; a document
     that is taken whole keeps its text as it is. n_chars, if there is one, is counted anew.
     """
-    plan = Plan(measured(documents), **how)
-    rows = _with_source(numbered(measured(documents.select(F.struct("*").alias("_row"), "doc_id", "source", "text"), "text", "_row")), plan)
+    sizes = written(measured(documents), "sizes")
+    plan = Plan(sizes, **how)
+    rows = written(_with_source(numbered(sizes), plan), "numbered")
     spans = (
-        _pieces(rows.drop("_row", "text"), plan.block_words).join(plan.slot_table().hint("merge"), ["_k", "_block"])
+        _pieces(rows, plan.block_words).join(plan.slot_table().hint("merge"), ["_k", "_block"])
         .withColumn("_take", F.least(F.col("_len"), F.col("_words") - F.col("_at"))).where("_take > 0")
         .groupBy("_k", "_bucket", "_nth").agg(F.collect_list(F.struct("_pass", "_from", "_take")).alias("_spans"))
     )
-    chosen = rows.join(spans, ["_k", "_bucket", "_nth"]).select("_row", "text", "_size", "_spans")
+    named = rows.join(spans, ["_k", "_bucket", "_nth"]).select("_hash", "_who", "_size", "_spans")
+    whole = documents.select(F.struct("*").alias("_row"), F.xxhash64("text").alias("_hash"), F.xxhash64("doc_id", "source").alias("_who"))
+    key = ["_hash", "_who"]
+    if sizes.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        # rows that agree in id, source and text are told apart by a number; which is which doesn't matter
+        nth = F.row_number().over(W.partitionBy(*key).orderBy(*key))
+        whole, key = whole.withColumn("_copy", nth), [*key, "_copy"]
+        named = rows.withColumn("_copy", nth).join(spans, ["_k", "_bucket", "_nth"]).select(*key, "_size", "_spans")
+    chosen = whole.join(named.hint("shuffle_hash"), key).select("_row", "_size", "_spans")  # the only shuffle of texts
     names = documents.columns
 
     def run(batches):
         for batch in batches:
             take, texts = [], []
-            for k, (text, size, found) in enumerate(zip(batch.column("text").to_pylist(), batch.column("_size").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
+            rows = batch.column("_row")
+            for k, (text, size, found) in enumerate(zip(rows.field(names.index("text")).to_pylist(), batch.column("_size").to_pylist(), batch.column("_spans").to_pylist(), strict=True)):
                 for part in by_pass(text, size, found):
                     take.append(k)
                     texts.append(part)
-            row = batch.column("_row").take(pa.array(take, pa.int64()))
+            row = rows.take(pa.array(take, pa.int64()))
             cols = dict(zip(names, row.flatten(), strict=True))
             cols["text"] = pa.array(texts, pa.string())
             if "n_chars" in cols:
