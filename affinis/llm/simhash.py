@@ -36,13 +36,13 @@ SHARD_LIMIT = 4096
 LEAF = 64
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
-    """As a signed 64-bit integer."""
+def shingle_digests(text: str | None, width: int) -> np.ndarray:
+    """The XXH64 values of a text's word shingles, 8 bytes each, high byte first."""
     from xxhash import xxh64_digest
 
     words = (text or "").encode().lower().split()  # on bytes: A-Z and the ASCII spaces alone
     if not words:
-        return 0
+        return np.empty((0, 8), np.uint8)
     n = max(1, len(words) - width + 1)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -51,8 +51,16 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     last = ends.tolist()
     step = min(width, len(words)) - 1
     digests = b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts[:n], last[step : step + n], strict=True)])
+    return np.frombuffer(digests, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+    """As a signed 64-bit integer."""
+    data = shingle_digests(text, width)
+    n = len(data)
+    if not n:
+        return 0
     counts = np.zeros(64, np.int64)
-    data = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     for k in range(0, n, 8192):
         counts += np.unpackbits(data[k : k + 8192], axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > n).view(">i8")[0])
@@ -249,7 +257,12 @@ def classes(documents: DataFrame, *, width: int = SHINGLE_WORDS, radius: int = R
 def keep_one(documents: DataFrame, *, width: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """Of each class the row of documents with the smallest id, all its columns."""
     prints = written(fingerprints(documents, width), "prints")
-    kept = written(class_table(prints, radius=radius).select("first.doc_id", "first.text_hash").distinct(), "kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
+    return rows_of(documents, prints, class_table(prints, radius=radius))
+
+
+def rows_of(documents: DataFrame, prints: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of documents that firsts (first: doc_id, text_hash) names, all their columns; prints: these two of each row."""
+    kept = written(firsts.select("first.doc_id", "first.text_hash").distinct(), "kept").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     again = prints.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_h")), "left_semi")
     repeated = again.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     row = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th"))
