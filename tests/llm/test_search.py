@@ -217,3 +217,16 @@ def test_many_rounds_of_merging(spark, monkeypatch):
 def test_expression_of_a_wrapper():
     pages = [wrappers.parse(page(f"<article><h1>{a}</h1>{'<p>x</p>' * n}</article>")) for a, n in (("one", 1), ("two", 3), ("three", 0))]
     assert wrappers.expression(wrappers.induced(pages)).endswith("<article><h1>#PCDATA</h1> (<p>text</p>)+</article></body></html></page>")
+
+
+def test_hidden_elements_hide_themselves_only(spark):
+    rows, truth = [], {}
+    for k in range(6):
+        rows.append((k, "http://h.example/", page(f"<article><h1>Head {k}</h1><p>one {k}</p><p>two {k}</p></article>")))
+        truth[k] = f"Head {k} one {k} two {k}"
+    rows += [
+        (6, "http://h.example/", page("<article><h1>Head</h1><p>one</p><p hidden>secret</p><p>two</p><p style='display: none'>secret</p></article>")),
+        (7, "http://h.example/", page("<article style='display:none'><h1>Head</h1><p>secret</p></article>")),
+        (8, "http://h.example/", page("<article><p>one</p><p class='a b c d e f hidden'>secret</p><p class='a b c d e f g'>two</p></article>")),
+    ]
+    assert extracted(spark, rows) == truth | {6: "Head one two", 7: "", 8: "one two"}
