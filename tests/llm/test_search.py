@@ -230,3 +230,16 @@ def test_hidden_elements_hide_themselves_only(spark):
         (8, "http://h.example/", page("<article><p>one</p><p class='a b c d e f hidden'>secret</p><p class='a b c d e f g'>two</p></article>")),
     ]
     assert extracted(spark, rows) == truth | {6: "Head one two", 7: "", 8: "one two"}
+
+
+def test_templates_of_a_host_and_pages_without_a_host(spark):
+    rows, truth = [], {}
+    for k in range(12):
+        text = f"first words {k} of this page", f"more words {k} of it"
+        article = page(f"<nav>menu</nav><article><p>{text[0]}</p><p>{text[1]}</p></article>")
+        plain = page(f"<nav>menu</nav><div class=story><p>{text[0]}</p><p>{text[1]}</p></div><div><p>same</p></div>")
+        rows.append((k, "http://mixed.example/" if k < 8 else "//mixed.example/x", article if k % 2 else plain))
+        truth[k] = " ".join(text)
+    for k, (url, body) in enumerate([(None, "<article><p>a</p></article>"), ("/rel", "<div><p>b</p><p>c</p></div>"), ("rel", "<p>d</p>"), (None, "<p>e</p>"), (None, "<p>e</p>")], 20):
+        rows.append((k, url, page(body)))
+    assert extracted(spark, rows) == truth | {20: "a", 21: "b c", 22: "d", 23: "e", 24: "e"}
