@@ -93,18 +93,22 @@ def units(text: str) -> list[str]:
     return list(found)
 
 
-def known(spark) -> DataFrame:
-    """digest, license: bounded by KNOWN."""
-    rows = sorted({(digest(text), name) for name, text in KNOWN})
+def known(spark, catalogue=KNOWN) -> DataFrame:
+    """digest, license: bounded by the catalogue; texts that are empty when canonical match nothing."""
+    rows = sorted({(digest(text), name) for name, text in catalogue if canonical(text)})
     return spark.createDataFrame(rows, "digest string, license string")
 
 
-def scan(documents: DataFrame) -> DataFrame:
-    """doc_id, text_digest (of the whole canonical text), licenses (sorted, comma between), n_units (units that match)."""
+def scan(documents: DataFrame, catalogue=KNOWN) -> DataFrame:
+    """doc_id, text_digest (of the whole canonical text), licenses (sorted, comma between), n_units (units that match).
+
+    catalogue: (licence, text) of what is looked for.
+    """
     kind = dict(documents.dtypes)["doc_id"]
+    marked = all(re.search(MARK, text.lower()) for _, text in catalogue)
 
     def run(batches):
-        mark = re.compile(MARK)
+        mark = re.compile(MARK if marked else "")
         for batch in batches:
             whole, own = [], []
             for text in batch.column("text").to_pylist():
@@ -117,7 +121,7 @@ def scan(documents: DataFrame) -> DataFrame:
 
     rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, text_digest string, digests array<string>")
     each = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "doc_id", "text_digest", F.explode_outer("digests").alias("digest"))
-    hit = each.join(F.broadcast(known(documents.sparkSession)), "digest", "left")
+    hit = each.join(F.broadcast(known(documents.sparkSession, catalogue)), "digest", "left")
     found = hit.groupBy("_row", "doc_id", "text_digest").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.count("license").alias("n_units"))
     return found.select("doc_id", "text_digest", "licenses", "n_units")
 

@@ -137,6 +137,13 @@ def test_licences(spark):
     assert licenses.scan(df.limit(0)).collect() == []
 
 
+def test_licences_of_a_given_catalogue(spark):
+    body = "Anyone may do what they like.\n\nNothing is promised."
+    df = spark.createDataFrame([(1, body.upper()), (2, "Released under the MIT License."), (3, "Do as you please!")], "doc_id long, text string")
+    found = licenses.scan(df, (*licenses.KNOWN, ("Own", body), ("Please", "do as you please"), ("None", "***")))
+    assert sorted((r["doc_id"], r["licenses"]) for r in found.collect()) == [(1, "Own"), (2, "MIT"), (3, "Please")]
+
+
 def test_every_known_text_has_the_mark():
     assert all(re.search(licenses.MARK, text.lower()) for _, text in licenses.KNOWN)
 
