@@ -175,13 +175,13 @@ def write(documents: DataFrame, folder: str, *, tokenizer: str | None = None, en
         store.create_dir(base, recursive=True)
         encode, task = encoder(path), TaskContext.get()
         part, serial = task.partitionId(), 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
         docs: list = []
         starts: list[int] = []
         total = 0
 
         def flush():
-            data = encode_file(np.frombuffer(b"".join(ids), "<u4"), docs, starts)
+            data = encode_file(np.concatenate(ids), docs, starts)
             name = f"part-{part:06d}-{serial:05d}.dac"
             with store.open_output_stream(f"{base}/.{name}.{task.taskAttemptId()}") as out:
                 out.write(data)
@@ -189,19 +189,21 @@ def write(documents: DataFrame, folder: str, *, tokenizer: str | None = None, en
             return pa.RecordBatch.from_pylist([{"part": part, "serial": serial, "name": name, "n_tokens": total, "n_docs": len(docs), "n_bytes": len(data)}], schema=out_schema)
 
         out_schema = pa.schema([("part", pa.int64()), ("serial", pa.int64()), ("name", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64())])
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 256):
-                for key, one in zip(keys[k : k + 256], encode.encode(texts[k : k + 256]), strict=True):
-                    docs.append(key)
-                    starts.append(total)
-                    ids += [one, end]
-                    total += len(one) // 4 + 1
-                    if total >= tokens_per_file:
-                        yield flush()
-                        serial, total, ids, docs, starts = serial + 1, 0, [], [], []
+            some, bounds = encode.ids(batch.column("text"), end_id)
+            at = 0
+            while at < len(keys):  # the documents up to the one that fills the file
+                upto = min(len(keys), int(np.searchsorted(bounds, bounds[at] + tokens_per_file - total)))
+                upto = max(upto, at + 1)
+                docs += keys[at:upto]
+                starts += (bounds[at:upto] - bounds[at] + total).tolist()
+                ids.append(some[bounds[at] : bounds[upto]])
+                total += int(bounds[upto] - bounds[at])
+                at = upto
+                if total >= tokens_per_file:
+                    yield flush()
+                    serial, total, ids, docs, starts = serial + 1, 0, [], [], []
         if docs:
             yield flush()
 

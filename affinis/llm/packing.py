@@ -22,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinis.llm.common import written
-from affinis.llm.tokens import default_tokenizer, encoder
+from affinis.llm.tokens import binary, default_tokenizer, encoder
 
 WINDOW = 2048
 #: Groups that rows are dealt to for ranks and running sums; each group is sorted by itself.
@@ -117,15 +117,15 @@ def tokenized(documents: DataFrame, *, tokenizer: str | None = None, end_id: int
 
     def run(batches):
         encode, part, serial = encoder(path), TaskContext.get().partitionId(), 0
-        end = int(end_id).to_bytes(4, "little")
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for k in range(0, len(texts), 1024):
-                ids = [x + end for x in encode.encode(texts[k : k + 1024])]
-                rows = np.arange(serial, serial + len(ids)) + (part << 40)
-                serial += len(ids)
+            ids, bounds = encode.ids(batch.column("text"), end_id)
+            n = batch.num_rows
+            rows = np.arange(serial, serial + n) + (part << 40)
+            serial += n
+            for k in range(0, n, 1024):
+                own = bounds[k : k + 1025]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows), batch.column("doc_id").slice(k, 1024), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array(rows[k : k + 1024]), batch.column("doc_id").slice(k, 1024), pa.array(np.diff(own)), binary(ids[own[0] : own[-1]], own - own[0])],
                     ["row_id", "doc_id", "n_tokens", "ids"],
                 )
 

@@ -22,6 +22,7 @@ def odd_rows():
     rows = [(i, prose(rng), "en" if i % 3 else "fr", f"src{i % 4}", 10) for i in range(40)]
     rows += [(100, None, "en", "src0", None), (101, "", "en", "src1", 0), (102, " \n\t ", None, "src2", 4), (103, prose(rng), None, None, 5), (None, prose(rng), "fr", "src1", 5), (None, None, None, None, None)]
     rows += [(104, prose(rng, 40_000, 5_000), "en", "src0", 9), (105, "one", "en", "src0", 3), (106, "one", "en", "src3", 3)]
+    rows += [(110, "one  <|endoftext|> two<|endoftext|>", "en", "src0", 30)]
     rows += [rows[3], rows[3], (107, rows[3][1], "fr", "src2", 1), (108, "Ünï çødé ☃ \U0001f600 " * 20, "fr", "src1", 1), (109, "### *** " * 30, "en", "src1", 1)]
     return rows
 

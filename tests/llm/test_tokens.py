@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -18,15 +19,30 @@ def reference():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(alphabet="aé1!_'s \n\t\r \u0085\x1c​日²", max_size=30))
-def test_parts_have_the_ids_of_the_whole(text):
+@given(st.lists(st.none() | st.text(alphabet="aZé1!_,.'s \n\n\t\r   \u0085\x1c\u200b\u3000\u180e\u0301日²<|>", max_size=30) | st.just("a  <|endoftext|> b"), max_size=6), st.sampled_from([16, 1 << 19]))
+def test_ids_of_cut_texts_are_those_of_the_whole(texts, size):
     encoder = tokens.encoder(tokens.default_tokenizer())
-    assert b"".join(encoder._whole(tokens.parts_of(text))) == encoder._whole([text])[0] == encoder.encode([text])[0]
+    before, tokens.SLICE = tokens.SLICE, size
+    try:
+        ids, bounds = encoder.ids(pa.array(texts, pa.string()), 7)
+    finally:
+        tokens.SLICE = before
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [[*encoder.tokenizer.encode(t or "", add_special_tokens=False).ids, 7] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.binary(ids, bounds).to_pylist()] == [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+def test_full_tables_are_emptied(monkeypatch, reference):
+    monkeypatch.setattr(tokens, "SLOTS", 64)
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    rng = random.Random(3)
+    for _ in range(20):
+        texts = ["".join(rng.choice("abc, é") for _ in range(40)) for _ in range(2)]
+        ids, _ = encoder.ids(pa.array(texts), 1)
+        assert ids.tolist() == [i for t in texts for i in (*reference(t), 1)]
 
 
 @settings(max_examples=100, deadline=None)
