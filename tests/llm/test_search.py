@@ -1,8 +1,10 @@
 """SimHash classes, top-k, licences, wrappers."""
 
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -92,11 +94,11 @@ VECTORS = "vec_id long, embedding array<double>, label int, score string, q int"
 
 
 def brute_top(rows, k=10, every=100):
-    fine = [(i, [int(np.floor(1024 * x)) for x in e]) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
+    fine = [(i, [math.floor(Fraction(x) * 1024) for x in e]) for i, e, *_ in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q, v in sorted({(i, tuple(e)) for i, e in fine if i % every == 0}):
+    for q, v in [(i, e) for i, e in fine if i % every == 0]:
         found = sorted((-sum(a * b for a, b in zip(v, e, strict=False)), i) for i, e in fine if i != q)[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(found, start=1)]
+        out += [(q, rank, i, min(max(-s, -(2**63)), 2**63 - 1)) for rank, (s, i) in enumerate(found, start=1)]
     return out
 
 
@@ -148,6 +150,29 @@ def test_every_known_text_has_the_mark():
     assert all(re.search(licenses.MARK, text.lower()) for _, text in licenses.KNOWN)
 
 
+def test_scores_beyond_64_bits_rank_exactly(spark):
+    rows = [(i, [sign * (x + 64.0 * i), 0.5], 0, "", 0) for i, x, sign in [(0, 1e17, 1), (1, 1e17, 1), (2, 1e17, -1), (3, 1e12, 1), (100, 1e17, -1), (101, 0.25, 1), (102, 1e17, 1), (103, -1e12, 1)]]
+    out = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, VECTORS), k=4).collect())
+    assert out == sorted(brute_top(rows, 4)) and len(out) == 8
+    assert topk._integers(np.array([1.5e308, -0.1]), 1024, "object").tolist() == [int(1.5e308) * 1024, -103]
+
+
+def test_repeated_and_shared_ids(spark, tmp_path):
+    """Each row is a query by itself, in the SQL too."""
+    import duckdb
+
+    rng = random.Random(9)
+    rows = [(i % 150, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    rows += [rows[0], rows[0], rows[100]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = sorted(tuple(r) for r in topk.top_k(df, query_block=3).collect())
+    assert out == sorted(brute_top(rows))
+    df.write.parquet(f"{tmp_path}/v")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/v/*.parquet')")
+    assert sorted(db.sql(queries.ORACLES["op8_exact_top_k"]).fetchall()) == out
+
+
 def page(body, head=""):
     return f"<!DOCTYPE html><html><head><title>t</title>{head}<script>var x='</p>';</script></head><body>{body}</body></html>"
 
