@@ -115,26 +115,37 @@ class Model:
                 self.pair_column[(a, b)] = learn([r for r in rows if r[0] in (a, b)], lambda x, a=a: x == a)
         self.weights = np.array(columns, np.float32).T.reshape(1 << BITS, len(columns)).copy()
 
+    def plain(self) -> dict:
+        """The model as arrays, lists and dicts, which a worker can read that has no such class."""
+        return {"langs": self.langs, "families": self.families, "members": self.members, "family_column": self.family_column, "pair_column": self.pair_column, "bias": self.bias, "weights": self.weights}
+
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return "und", 0.0
-        grams = hashed(text)
-        margin = (self.weights[grams].mean(axis=0, dtype=np.float64) + self.bias) if self.bias else np.zeros(0)
-        sure = 1.0
-        family = self.families[0]
-        if len(self.families) > 1:
-            by = {f: s * float(margin[k]) for f, (k, s) in self.family_column.items()}
-            family = max(self.families, key=lambda f: (by[f], f))
-            sure = _sigmoid(2 * by[family])
-        votes = {x: [0, 0.0] for x in self.members[family]}
-        for a, b in combinations(self.members[family], 2):
-            m = float(margin[self.pair_column[(a, b)]])
-            votes[a if m >= 0 else b][0] += 1
-            votes[a][1] += m
-            votes[b][1] -= m
-        lang = max(self.members[family], key=lambda x: (*votes[x], x))
-        rivals = [m if a == lang else -m for (a, b), m in ((p, float(margin[self.pair_column[p]])) for p in combinations(self.members[family], 2)) if lang in (a, b)]
-        return lang, sure * _sigmoid(2 * min(rivals, default=300.0))
+        return predicted(self.plain(), text)
+
+
+def predicted(model: dict, text: str | None) -> tuple[str, float]:
+    """Language and score of a text by Model.plain()."""
+    if not model["langs"] or not has_letter(text):
+        return "und", 0.0
+    bias, weights, families, pairs = model["bias"], model["weights"], model["families"], model["pair_column"]
+    margin = (weights[hashed(text)].mean(axis=0, dtype=np.float64) + bias) if bias else np.zeros(0)
+    sure = 1.0
+    family = families[0]
+    if len(families) > 1:
+        by = {f: s * float(margin[k]) for f, (k, s) in model["family_column"].items()}
+        family = max(families, key=lambda f: (by[f], f))
+        sure = _sigmoid(2 * by[family])
+    members = model["members"][family]
+    votes = {x: [0, 0.0] for x in members}
+    rivals: dict[str, list[float]] = {x: [] for x in members}
+    for a, b in combinations(members, 2):
+        m = float(margin[pairs[(a, b)]])
+        votes[a if m >= 0 else b][0] += 1
+        for x, own in ((a, m), (b, -m)):
+            votes[x][1] += own
+            rivals[x].append(own)
+    lang = max(members, key=lambda x: (*votes[x], x))
+    return lang, sure * _sigmoid(2 * min(rivals[lang], default=300.0))
 
 
 def _sigmoid(x: float) -> float:
@@ -143,12 +154,12 @@ def _sigmoid(x: float) -> float:
 
 def predict(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of documents."""
-    model = documents.sparkSession.sparkContext.broadcast(Model(training_rows(documents)))  # 128 KB for each machine at any input
+    model = documents.sparkSession.sparkContext.broadcast(Model(training_rows(documents)).plain())  # 128 KB for each machine at any input
 
     def run(batches):
         m = model.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column("text")]
+            found = [predicted(m, t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = documents.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")

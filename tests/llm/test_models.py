@@ -145,6 +145,9 @@ def test_three_families_and_single_members():
             texts.append((lang, text))
     model = langid.Model(rows)
     assert all(model.predict(t)[0] == lang for lang, t in texts)
+    import pickle
+
+    assert b"affinis" not in pickle.dumps(model.plain())  # workers need not have the package
     assert langid.family_of("xx") == "only xx" and langid.family_of("de") == langid.family_of("en")
 
 
