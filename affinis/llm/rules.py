@@ -1,11 +1,13 @@
 r"""Quality rules with risk-controlled thresholds.
 
-Each rule compares a statistic of a text with a cutoff. The cutoffs of a stratum (the language) are chosen on
-labelled documents: a cutoff is certified if the exact binomial (Clopper-Pearson) upper bound of the share of good
-documents that it rejects is at most `risk`, at a confidence that is corrected for all cutoffs of all rules in
-all strata (Bonferroni). Of a rule's certified cutoffs the one that rejects most bad documents holds; without bad
-documents rejected, or without a certified cutoff, the rule rejects nothing there. The grid of cutoffs is fixed
-beforehand, so the labels serve as a holdout.
+Each rule compares a statistic of a text with a cutoff, and a text goes if any rule rejects it. In each stratum (the
+language) the labelled documents are split by a hash of doc_id. The first part proposes: for each rule the cutoff
+that rejects most bad documents and few good ones, the rules in the order of the bad documents they reject. The other part, the
+holdout, certifies: the first rule, the first two together, and so on, as long as the exact binomial (Clopper-Pearson)
+upper bound of the share of good documents that they reject together is at most `risk`. Tests in a fixed order that stop
+at the first failure need no correction among themselves; the confidence is divided over the strata (Bonferroni). So
+with that confidence, in every stratum, all rules together reject at most `risk` of the good documents that pass the base rule.
+Without a certified step the rules reject nothing there.
 
 Statistics of a text, by words `[^\x20\x09-\x0D]+`: n_words; word_chars, code points in words; n_symbols,
 characters of `[#*$%&|<>]`; n_dup_lines, lines (cut at \n) with a word that equal an earlier line;
@@ -32,6 +34,8 @@ from affinis.llm.common import written
 
 RISK = 0.01
 CONFIDENCE = 0.95
+#: One labelled document in so many proposes cutoffs; the others certify them.
+PROPOSING = 4
 #: rule: (statistic, whether more is worse, cutoffs in thousandths for each word, the most lenient first).
 RULES = {
     "symbols": ("n_symbols", True, (3000, 2000, 1500, 1000, 700, 500, 300, 200, 100, 50)),
@@ -113,23 +117,46 @@ def stats_table(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind['doc_id']}, lang {kind['lang']}, " + ", ".join(f"{s} long" for s in STATS))
 
 
+def proposed(row: dict, risk: float) -> list[tuple[str, int]]:
+    """(rule, cutoff) by falling numbers of rejected bad documents, from the counts of one stratum."""
+    out = []
+    for rule, (_, _, cuts) in RULES.items():
+        best = max(((row[f"b_{rule}_{c}"], -k, c) for k, c in enumerate(cuts) if row[f"g_{rule}_{c}"] <= risk / 2 * row["good"]), default=(0, 0, 0))
+        if best[0]:
+            out.append((best[0], rule, best[2]))
+    return [(rule, c) for _, rule, c in sorted(out, key=lambda x: (-x[0], x[1]))]
+
+
 def thresholds(stats: DataFrame, labels: DataFrame, *, risk: float = RISK, confidence: float = CONFIDENCE) -> dict[tuple, int]:
-    """(stratum, rule): cutoff. The driver gathers one row of counts for each stratum."""
+    """(stratum, rule): cutoff. The driver gathers a row of counts for each stratum, twice."""
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).alias("_good"))
-    grid = [(r, c) for r, (_, _, cuts) in RULES.items() for c in cuts]
-    passed = stats.join(own, "doc_id").where(~base_fails_column())
+    passed = stats.join(own, "doc_id").where(~base_fails_column()).withColumn("_first", F.pmod(F.xxhash64("doc_id"), F.lit(PROPOSING)) == 0)
     columns = {s: F.col(s) for s in STATS}
-    counts = [F.sum((F.col("_good") & rejects(r, c, columns)).cast("long")).alias(f"g{k}") for k, (r, c) in enumerate(grid)]
-    counts += [F.sum((~F.col("_good") & rejects(r, c, columns)).cast("long")).alias(f"b{k}") for k, (r, c) in enumerate(grid)]
-    found = passed.groupBy("lang").agg(F.sum(F.col("_good").cast("long")).alias("good"), *counts).collect()
-    error = (1 - confidence) / max(1, len(grid) * len(found))
+
+    def count(condition, name):
+        return F.sum(condition.cast("long")).alias(name)
+
+    grid = [(r, c) for r, (_, _, cuts) in RULES.items() for c in cuts]
+    counts = [count(F.col("_good") & rejects(r, c, columns), f"g_{r}_{c}") for r, c in grid] + [count(~F.col("_good") & rejects(r, c, columns), f"b_{r}_{c}") for r, c in grid]
+    steps = {r["lang"]: proposed(r.asDict(), risk) for r in passed.where("_first").groupBy("lang").agg(count(F.col("_good"), "good"), *counts).collect()}
+    steps = {lang: some for lang, some in steps.items() if some}
+    if not steps:
+        return {}
+    most = max(map(len, steps.values()))
+    together = [F.lit(False)] * most
+    for lang, some in sorted(steps.items(), key=str):
+        bad = F.lit(False)
+        for k, (rule, c) in enumerate(some):
+            bad = bad | rejects(rule, c, columns)
+            together[k] = F.when(F.col("lang").eqNullSafe(F.lit(lang)), bad).otherwise(together[k])
+    held = passed.where(~F.col("_first")).groupBy("lang").agg(count(F.col("_good"), "good"), *[count(F.col("_good") & x, f"s{k}") for k, x in enumerate(together)]).collect()
+    error = (1 - confidence) / len(steps)
     out: dict[tuple, int] = {}
-    for row in found:
-        for rule, (_, _, cuts) in RULES.items():
-            best = 0
-            for k, (r, c) in enumerate(grid):
-                if r == rule and row[f"b{k}"] > best and certified(row[f"g{k}"], row["good"], risk, error):
-                    best, out[(row["lang"], rule)] = row[f"b{k}"], c
+    for row in held:
+        for k, (rule, c) in enumerate(steps.get(row["lang"], ())):
+            if not certified(row[f"s{k}"], row["good"], risk, error):
+                break
+            out[(row["lang"], rule)] = c
     return out
 
 

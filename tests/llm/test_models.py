@@ -1,5 +1,6 @@
 """Quality classifier, quality rules, language ID."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -114,6 +115,26 @@ def test_thresholds_keep_the_risk(spark):
     assert not few
 
 
+def test_all_rules_together_keep_the_risk(spark):
+    """Five disjoint groups of good documents, 0.4% each, that a rule each would reject: certified rules reject 1% of fresh ones at most."""
+
+    def rows(seed, n):
+        rng, out = random.Random(seed), []
+        for i in range(n):
+            good, x = rng.random() < 0.8, rng.random()
+            group = int(x / 0.004) if good else rng.randrange(5)
+            own = [(60, 200, 0, 0), (0, 200, 0, 9), (0, 200, 9, 0), (0, 900, 0, 0), (0, 60, 0, 0)][group] if group < 5 else (0, 250, 0, 0)
+            out.append((i, "xx", 50, own[1], own[0], own[2], own[3], int(good)))
+        return out
+
+    kinds = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+    learned = rows(1, 25_000)
+    cut = rules.thresholds(spark.createDataFrame([r[:7] for r in learned], kinds), spark.createDataFrame([(r[0], r[7]) for r in learned], "doc_id long, quality int"))
+    assert 1 <= len(cut) < 5
+    fresh = [dict(zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"), r[2:7], strict=True)) for r in rows(2, 50_000) if r[7]]
+    assert sum(any(rules.rejects(r, c, s) for (_, r), c in cut.items()) for s in fresh) <= 0.01 * len(fresh)
+
+
 def test_rules_odd(odd_documents, odd_labels, no_documents, no_labels, odd_rows):
     out = rows_of(rules.verdicts(odd_documents, odd_labels))
     assert len(out) == len(odd_rows)
