@@ -189,7 +189,7 @@ def write(documents: DataFrame, folder: str, *, tokenizer: str | None = None, en
             return pa.RecordBatch.from_pylist([{"part": part, "serial": serial, "name": name, "n_tokens": total, "n_docs": len(docs), "n_bytes": len(data)}], schema=out_schema)
 
         out_schema = pa.schema([("part", pa.int64()), ("serial", pa.int64()), ("name", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64())])
-        for batch in batches:
+        for batch in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
             keys = batch.column("doc_id").to_pylist()
             some, bounds = encode.ids(batch.column("text"), end_id)
             at = 0

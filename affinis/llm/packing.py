@@ -27,6 +27,8 @@ from affinis.llm.tokens import binary, default_tokenizer, encoder
 WINDOW = 2048
 #: Groups that rows are dealt to for ranks and running sums; each group is sorted by itself.
 BUCKETS = 4096
+#: Documents that are tokenized at a time.
+SOME = 512
 _KEY = 1 << 48
 
 
@@ -118,16 +120,12 @@ def tokenized(documents: DataFrame, *, tokenizer: str | None = None, end_id: int
     def run(batches):
         encode, part, serial = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, bounds = encode.ids(batch.column("text"), end_id)
-            n = batch.num_rows
-            rows = np.arange(serial, serial + n) + (part << 40)
-            serial += n
-            for k in range(0, n, 1024):
-                own = bounds[k : k + 1025]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[k : k + 1024]), batch.column("doc_id").slice(k, 1024), pa.array(np.diff(own)), binary(ids[own[0] : own[-1]], own - own[0])],
-                    ["row_id", "doc_id", "n_tokens", "ids"],
-                )
+            for k in range(0, batch.num_rows, SOME):
+                own = batch.slice(k, SOME)
+                ids, bounds = encode.ids(own.column("text"), end_id)
+                rows = np.arange(serial, serial + own.num_rows) + (part << 40)
+                serial += own.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(rows), own.column("doc_id"), pa.array(np.diff(bounds)), binary(ids, bounds)], ["row_id", "doc_id", "n_tokens", "ids"])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"row_id long, doc_id {kind}, n_tokens long, ids binary")
 

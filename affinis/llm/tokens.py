@@ -18,7 +18,7 @@ from affinis.llm.common import process_cache
 
 #: Slots of the table (a power of two), which is emptied when five eighths are full; it changes speed, never ids.
 SLOTS = 1 << 21
-#: Bytes of text that are cut and looked up at a time, about.
+#: Bytes of text that are cut and looked up at a time, about; fewer than the slots that are free when the table isn't emptied.
 SLICE = 1 << 19
 #: Parts that are joined for a call of the library.
 LINES = 32
@@ -206,8 +206,8 @@ class Encoder:
         """Ids of the texts data[bounds[k] : bounds[k + 1]], one after the other, and how many each text has."""
         first = np.zeros(len(data) + 1, bool)
         first[bounds] = True
-        at, step = 0, SLICE
-        ids, ends, counts = [], [], []
+        at, step, done = 0, SLICE, 0
+        ids, upto = [], np.zeros(len(bounds), np.int64)
         while at < len(data):
             stop = min(len(data), at + step)
             cuts = at + np.flatnonzero(borders(data[at:stop], first[at:stop]))
@@ -221,14 +221,11 @@ class Encoder:
             edges = np.concatenate(([at], cuts, [stop]))
             some, n = self._look_up(data[at:stop], edges[:-1] - at, np.diff(edges))
             ids.append(some)
-            ends.append(edges[1:])
-            counts.append(n)
-            at, step = stop, SLICE
-        if not ids:
-            return np.zeros(0, np.uint32), np.zeros(len(bounds) - 1, np.int64)
-        total = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
-        upto = total[np.searchsorted(np.concatenate(ends), bounds, side="right")]  # every bound but the last ends a part
-        return np.concatenate(ids), np.diff(upto)
+            a, b = np.searchsorted(bounds, (at, stop), side="right")  # bounds that this slice reaches; each ends a part
+            total = np.concatenate(([done], done + np.cumsum(n)))
+            upto[a:b] = total[np.searchsorted(edges[1:], bounds[a:b], side="right")]
+            at, step, done = stop, SLICE, int(total[-1])
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.diff(upto)
 
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) with the end id after each, unsigned 32-bit, and where each text's begin (one more bound last)."""
