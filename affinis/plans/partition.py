@@ -37,9 +37,8 @@ def partition_rows(rows: DataFrame, header: list[str], column: str, *, quantiles
     decimal, n = R.separator(cells, column, decimal)
     if n < 2:
         raise DatasetFormatError("A partition needs at least two data rows")
-    R.check_rows(quantiles, percentiles, n)
     ranks = R.ranked(cells, decimal)
-    found = R.intervals(ranks, n, decimal, quantiles, percentiles, classes)
+    found = R.intervals(ranks, n, quantiles, percentiles, classes)
     return R.route(ranks.select("row_idx", "rank"), found).join(rows, "row_idx"), found, decimal, n
 
 

@@ -210,8 +210,7 @@ _RANK_SQL = """
 def rank_partitions_customer(spark, sf_dir):
     ranks = ranking.rank_values(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
     n = ranks.count()
-    found = [x for q in (2, 4, 8, 16, 32) for x in ranking.ends("quantile", q, ranking.rank_bounds("quantile", q, n))]
-    found += [x for p in (5, 10, 20) for x in ranking.ends("percentile", p, ranking.rank_bounds("percentile", p, n))]
+    found = ranking.fixed_intervals(spark, n, (2, 4, 8, 16, 32), (5, 10, 20))
     return ranking.route(ranks, found).select("c_custkey", "rank", "method", "parameter", "end")
 
 
@@ -228,7 +227,7 @@ def rank_partitions_customer(spark, sf_dir):
 """)
 def jenks_part_size(spark, sf_dir):
     _, rows = tables.read(table(spark, sf_dir, "part").select("p_partkey", "p_size"), Table(("p_partkey",)))
-    found = ranking.jenks_intervals(_distinct_text(rows.select(F.col("cells")[1].alias("cell"))), (2, 3), ".")
+    found = ranking.jenks_intervals(_distinct_text(rows.select(F.col("cells")[1].alias("cell"))), (2, 3))
     return spark.createDataFrame([(x.method, x.parameter, x.end, x.rank_start, x.rank_end) for x in found], "method string, parameter int, end string, rank_start long, rank_end long")
 
 
@@ -240,7 +239,7 @@ def _distinct_text(cells: DataFrame) -> DataFrame:
 def jenks_lineitem_price(spark, sf_dir):
     """Natural breaks, 2 to 5 classes, of all prices; brute force holds it in the tests."""
     text = F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("cell")
-    found = ranking.jenks_intervals(_distinct_text(table(spark, sf_dir, "lineitem").select(text)), (2, 3, 4, 5), ".")
+    found = ranking.jenks_intervals(_distinct_text(table(spark, sf_dir, "lineitem").select(text)), (2, 3, 4, 5))
     return spark.createDataFrame([(x.method, x.parameter, x.end, x.rank_start, x.rank_end) for x in found], "method string, parameter int, end string, rank_start long, rank_end long")
 
 
