@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from affinis.store import new_path, written
 
-__all__ = ["crc_mod", "new_path", "process_cache", "table", "written"]
+__all__ = ["crc_mod", "new_path", "process_cache", "slices", "table", "written"]
+
+#: Rows that a Python worker makes results of at once.
+SLICE_ROWS = 512
 
 
 def process_cache(name: str) -> dict:
@@ -24,3 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def crc_mod(column: str, m: int):
     """crc32 of an id as text, modulo m; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
+
+
+def slices(batches, rows: int = SLICE_ROWS):
+    """The same rows in smaller batches without a copy, so that what is made of them stays small.
+
+    For operators that keep nothing in the process: frees what other operators kept there, as a worker outlives its stage.
+    """
+    sys.__dict__.get("_affinis_caches", {}).clear()
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import crc_mod
+from affinis.llm.common import crc_mod, slices
 from affinis.llm.linear import dual_coordinate_descent
 
 BITS = 18
@@ -146,7 +146,7 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches):
         scorer = make_scorer(*model.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([scorer(t.as_py()) >= 0.5 for t in batch.column("text")], pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)

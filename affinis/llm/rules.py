@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinis.llm.common import written
+from affinis.llm.common import slices, written
 
 RISK = 0.01
 CONFIDENCE = 0.95
@@ -180,10 +180,10 @@ def keep_good(documents: DataFrame, labels: DataFrame, **how) -> DataFrame:
     cutoffs = thresholds(written(stats_table(documents), "rules"), labels, **how)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                s = dict(zip(STATS, statistics(text), strict=True))
+            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True):
+                s = dict(zip(STATS, statistics(text.as_py()), strict=True))
                 keep.append(not base_fails(s["n_words"], s["n_repeat_words"]) and not any(rejects(r, cutoffs[(lang, r)], s) for r in RULES if (lang, r) in cutoffs))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
