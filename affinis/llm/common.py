@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from affinis.store import new_path, written
 
-__all__ = ["crc_mod", "new_path", "process_cache", "slices", "table", "written"]
+__all__ = ["crc_mod", "new_path", "process_cache", "release", "slices", "table", "written"]
 
 #: Rows that a Python worker makes results of at once.
 SLICE_ROWS = 512
@@ -29,12 +29,25 @@ def crc_mod(column: str, m: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % m
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are used again by other stages, which have no use for it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches, rows: int = SLICE_ROWS):
     """The same rows in smaller batches without a copy, so that what is made of them stays small.
 
     For operators that keep nothing in the process: frees what other operators kept there, as a worker outlives its stage.
     """
     sys.__dict__.get("_affinis_caches", {}).clear()
+    release()
     for batch in batches:
         for low in range(0, batch.num_rows, rows):
             yield batch.slice(low, rows)

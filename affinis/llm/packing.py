@@ -112,13 +112,13 @@ def place(plan: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray):
         row, done, length, rank = row[go], done[go] + head[go], length[go] - head[go], plan["tail_rank"][k][go] + t[go]
 
 
-def tokenized(documents: DataFrame, *, tokenizer: str | None = None, end_id: int = 1) -> DataFrame:
+def tokenized(documents: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, slots: int | None = None) -> DataFrame:
     """row_id, doc_id, n_tokens, ids (little-endian unsigned 32-bit, end id last); row_id tells rows apart."""
     path = tokenizer or default_tokenizer()
     kind = dict(documents.dtypes)["doc_id"]
 
     def run(batches):
-        encode, part, serial = encoder(path), TaskContext.get().partitionId(), 0
+        encode, part, serial = encoder(path, slots), TaskContext.get().partitionId(), 0
         for batch in batches:
             for k in range(0, batch.num_rows, SOME):
                 own = batch.slice(k, SOME)
@@ -174,12 +174,12 @@ def positions(lengths: DataFrame, *, window: int = WINDOW, buckets: int = BUCKET
     return placed.mapInArrow(run, f"row_id long, starts {a}, lengths {a}, sequences {a}, offsets {a}")
 
 
-def packed(documents: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW) -> DataFrame:
+def packed(documents: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, window: int = WINDOW, slots: int | None = None) -> DataFrame:
     """doc_id, start, length, ids (binary), doc_tokens, sequence_id, offset: a row for each piece.
 
     Texts are tokenized once, to a written table; lengths alone are ranked; the places then join the ids by row.
     """
-    ids = written(tokenized(documents, tokenizer=tokenizer, end_id=end_id), "ids")
+    ids = written(tokenized(documents, tokenizer=tokenizer, end_id=end_id, slots=slots), "ids")
     places = positions(ids.select("row_id", "n_tokens"), window=window)
     kind = dict(documents.dtypes)["doc_id"]
 

@@ -14,7 +14,7 @@ import json
 import numpy as np
 import pyarrow as pa
 
-from affinis.llm.common import process_cache
+from affinis.llm.common import process_cache, release
 
 #: Slots of the table (a power of two), which is emptied when five eighths are full; it changes speed, never ids.
 SLOTS = 1 << 21
@@ -69,7 +69,7 @@ def borders(b: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """ids(column, end) gives the ids of each text of an Arrow column, the end id last."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int | None = None):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.by_line = Tokenizer.from_file(path), Tokenizer.from_file(path)
@@ -83,12 +83,13 @@ class Encoder:
         for token, i in vocabulary.items():  # in the byte-level alphabet each byte is one character
             self.n_bytes[i] = len(token)
         self.line = self.whole(["\n"])[0]
+        self.slots = slots or SLOTS
         self._empty()
 
     def _empty(self):
         #: three words of the part's bytes and length, and its place in the pool with its count; a row is a cache line's half
-        self.table = np.zeros((SLOTS, 4), np.uint64)
-        self.row = np.zeros(SLOTS, np.int32)
+        self.table = np.zeros((self.slots, 4), np.uint64)
+        self.row = np.zeros(self.slots, np.int32)
         self.pool, self.filled, self.held = np.zeros(1 << 20, np.uint32), 0, 0
 
     def whole(self, texts: list[str], by=None) -> list[np.ndarray]:
@@ -153,7 +154,7 @@ class Encoder:
 
     def _look_up(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the parts of data, one after the other, and how many each part has."""
-        if self.held > SLOTS // 8 * 5 or self.filled > 4 * SLOTS:
+        if self.held > self.slots // 8 * 5 or self.filled > 4 * self.slots:
             self._empty()
         n = len(starts)
         place, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -169,7 +170,7 @@ class Encoder:
         key[long, 2] |= words[s[long] + 16] & _MASKS[m[long] - 16]
         h = key[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ key[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) ^ key[:, 2] * np.uint64(0x165667B19E3779F9)
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-        slot = (h >> np.uint64(64 - (SLOTS.bit_length() - 1))).astype(np.int64)
+        slot = (h >> np.uint64(64 - (self.slots.bit_length() - 1))).astype(np.int64)
         new_slots, new_rows = [], []
         at, wanted, todo = slot, key, np.arange(len(small))
         while len(todo):
@@ -185,7 +186,7 @@ class Encoder:
                 there[free] = self.table[here]
             off = np.flatnonzero((there[:, 0] != wanted[:, 0]) | (there[:, 1] != wanted[:, 1]) | (there[:, 2] != wanted[:, 2]))
             todo = todo[off]
-            at = slot[todo] = (at[off] + 1) & (SLOTS - 1)
+            at = slot[todo] = (at[off] + 1) & (self.slots - 1)
             wanted = wanted[off]
         if new_rows:
             here, rows = np.concatenate(new_slots), np.concatenate(new_rows)
@@ -289,11 +290,15 @@ def binary(ids: np.ndarray, bounds: np.ndarray, kind: str = "<u4") -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, slots: int | None = None) -> Encoder:
+    """This process's encoder; its table has so many slots (a power of two), which changes speed and memory, never ids."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    release()
     cache = process_cache("encoders")
-    if path not in cache:
-        cache[path] = Encoder(path)
-    return cache[path]
+    if (path, slots) not in cache:
+        cache.clear()
+        cache[path, slots] = Encoder(path, slots)
+        release()
+    return cache[path, slots]
