@@ -31,6 +31,8 @@ BUCKET_BITS = 18
 SMALL, HUBS, HUB_ROUNDS = 64, 8, 3
 #: Rows to verify that are named by a broadcast of their 8-byte hashes; beyond, by a shuffled join.
 BROADCAST_ROWS = 500_000
+#: Links that one task joins to classes (16 MB of them); beyond, rounds of all tasks.
+ALONE = 1 << 20
 _SLICE = 4096
 _MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -216,7 +218,7 @@ def links(documents: DataFrame, prints: DataFrame, distinct: DataFrame) -> DataF
         left = out.where("token IS NOT NULL").select("token").distinct()
         if not left.limit(1).count():
             return found
-        roots = components(found)
+        roots = components(found, alone=ALONE)
         open_ = members.drop("label").join(left, "token", "left_semi")
         members = written(open_.join(roots, open_["key"] == roots["node"], "left").select("token", "key", "n", "place", F.coalesce("root", "key").alias("label")), "prefixes")
         step += 1
@@ -228,6 +230,6 @@ def keep_one(documents: DataFrame) -> DataFrame:
     rows = prints.where("part IS NULL").select("doc_id", "text_hash", "key")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))).alias("own")
     distinct = written(rows.groupBy("key").agg(least), "distinct")
-    roots = components(links(documents, prints, distinct))
+    roots = components(links(documents, prints, distinct), alone=ALONE)
     named = distinct.join(roots, distinct["key"] == roots["node"], "left").select("own", F.coalesce("root", "key").alias("root"))
     return rows_of(documents, rows, named.groupBy("root").agg(F.min("own").alias("first")))

@@ -56,7 +56,10 @@ def shingle_digests(text: str | None, width: int) -> np.ndarray:
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     """As a signed 64-bit integer."""
-    data = shingle_digests(text, width)
+    return fingerprint_of(shingle_digests(text, width))
+
+
+def fingerprint_of(data: np.ndarray) -> int:
     n = len(data)
     if not n:
         return 0
@@ -217,9 +220,28 @@ def stars(fps: DataFrame, distinct: int, *, radius: int = RADIUS, limit: int = S
     return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): each node that has a link, and the smallest node of its class."""
+def _joined(batches):
+    """The same as the rounds of components(), for links that one task holds."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    a, b = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in batches]) for c in ("a", "b"))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    classes = Classes(len(nodes))
+    for i, j in zip(*at.reshape(2, -1).tolist(), strict=True):
+        classes.join(i, j)
+    roots = nodes[classes.labels(np.arange(len(nodes)))]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[nodes != roots]), pa.array(roots[nodes != roots])], ["node", "root"])
+
+
+def components(edges: DataFrame, *, alone: int = 0) -> DataFrame:
+    """(node, root): each node that has a link to a smaller class mate, and the smallest node of its class.
+
+    Up to `alone` links are joined in one task, more in rounds of all tasks: the classes are the same, but rounds take some ten jobs each.
+    """
     edges = written(edges.where("a <> b").distinct(), "links")
+    if alone and edges.count() <= alone:
+        return written(edges.coalesce(1).mapInArrow(_joined, "node long, root long"), "links")
     before = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))

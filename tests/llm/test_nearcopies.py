@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from affinis.llm import nearcopies
+from affinis.llm.simhash import components
 
 
 def brute_set(text):
@@ -55,3 +56,27 @@ def test_stage_on_given_documents(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, tiny).collect()) == brute_kept(rows)
+
+
+def test_links_joined_alone_or_in_rounds(spark, monkeypatch):
+    """A chain of near copies: the same row stays, with far fewer jobs, of which the driver keeps records."""
+    rng = random.Random(1)
+    words, rows = [f"v{rng.randrange(300)}" for _ in range(100)], []
+    for k in range(60):
+        words[rng.randrange(100)] = f"e{k}"
+        rows.append((k, " ".join(words)))
+    docs, jobs = spark.createDataFrame(rows, "doc_id long, text string"), {}
+    for alone in (0, nearcopies.ALONE):
+        monkeypatch.setattr(nearcopies, "ALONE", alone)
+        spark.sparkContext.setJobGroup(f"chain{alone}", "")
+        assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_kept(rows)
+        jobs[alone] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"chain{alone}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 3 * jobs[nearcopies.ALONE] < 2 * jobs[0]
+
+
+def test_components_alone(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(-80, 80), rng.randrange(-80, 80)) for _ in range(70)] + [(-(2**63), 5), (2**63 - 1, 5), (7, 7)]
+    for edges in (spark.createDataFrame(links, "a long, b long").repartition(3), spark.createDataFrame([], "a long, b long")):
+        assert sorted(components(edges, alone=100).collect()) == sorted(components(edges).collect())
