@@ -1,9 +1,14 @@
-r"""Near copies by exact Jaccard similarity of word shingles.
+r"""Near copies by SimHash and BK-trees, held to the exact Jaccard similarity of word shingles.
 
 A document's set has the XXH64 values (UTF-8, seed 42) of its five-word shingles, A-Z in lower case. Documents whose sets
 have a Jaccard similarity of at least 4/5 are linked; classes are the connected components of the links.
 
-Links are exact, not drawn: of two linked sets, each has a token among the first n - ceil(4n/5) + 1 of its own n that the other has
+First the fingerprints of all documents (from the same shingles) are searched by simhash's BK-trees; what lies in one class
+of a shard within RADIUS bits is proposed, and verified on the whole sets. A similarity of 4/5 can lie farther apart in any
+fingerprint of 64 bits (some ten bits on average), so an exact search for the rest follows, over
+all documents; it verifies only pairs that the trees have not brought into one class.
+
+The rest is exact, not drawn: of two linked sets, each has a token among the first n - ceil(4n/5) + 1 of its own n that the other has
 among its first, in any order that holds for all sets (prefix filter). The order is rare tokens first, by a table of
 counts whose size is fixed; it decides how many candidates there are, never which links are found. Sets that share such a token are
 candidates if their sizes and the token's places allow the similarity; candidates are verified on the whole sets.
@@ -22,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinis.llm.common import slices, written
-from affinis.llm.simhash import components, rows_of, shingle_digests
+from affinis.llm.simhash import components, fingerprint_of, rows_of, shingle_digests, stars
 
 SHINGLE_WORDS = 5
+#: Bits in which fingerprints may differ that the BK-trees bring together.
+RADIUS = 6
 #: Bits of a token that choose its count.
 BUCKET_BITS = 18
 #: Sets of one token that are compared all with all; beyond, first with so many hubs, in so many rounds.
@@ -39,11 +46,15 @@ _MIX = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 def tokens(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """The set of a text, as sorted signed 64-bit integers."""
-    return np.unique(shingle_digests(text, width).view(">i8").astype(np.int64).ravel())
+    return set_of(shingle_digests(text, width))
+
+
+def set_of(digests: np.ndarray) -> np.ndarray:
+    return np.unique(digests.view(">i8").astype(np.int64).ravel())
 
 
 def token_prints(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, key (a hash of the set) for each row; and for each task, rows of part and n: how many tokens fall in each bucket.
+    """doc_id, text_hash, key (a hash of the set), fp (the fingerprint) for each row; and for each task, rows of part and n: how many tokens fall in each bucket.
 
     Sets themselves aren't kept: they take more room than the texts, and are made again where they are needed.
     """
@@ -52,21 +63,23 @@ def token_prints(documents: DataFrame) -> DataFrame:
         from xxhash import xxh64_digest
 
         counts, kind = np.zeros(1 << BUCKET_BITS, np.int64), None
-        names = ["doc_id", "text_hash", "key", "part", "n"]
+        names = ["doc_id", "text_hash", "key", "fp", "part", "n"]
         for batch in slices(batches):
-            keys, kind = [], batch.schema.field("doc_id").type
+            keys, fps, kind = [], [], batch.schema.field("doc_id").type
             for t in batch.column("text"):
-                s = tokens(t.as_py())
+                digests = shingle_digests(t.as_py(), SHINGLE_WORDS)
+                s = set_of(digests)
                 keys.append(xxh64_digest(s.tobytes(), 42))
+                fps.append(fingerprint_of(digests))
                 np.add.at(counts, _buckets(s), 1)
             none = [pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.frombuffer(b"".join(keys), ">i8").astype(np.int64)), *none], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(np.frombuffer(b"".join(keys), ">i8").astype(np.int64)), pa.array(fps, pa.int64()), *none], names)
         if counts.any():
             parts = counts.reshape(-1, _SLICE)
-            none = [pa.nulls(len(parts), t) for t in (kind, pa.int64(), pa.int64())]
+            none = [pa.nulls(len(parts), t) for t in (kind, pa.int64(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(parts)), pa.int32()), pa.array(list(parts), pa.list_(pa.int64()))], names)
 
-    return _rows(documents).select("doc_id", "text", "text_hash").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, key long, part int, n array<long>")
+    return _rows(documents).select("doc_id", "text", "text_hash").mapInArrow(run, f"doc_id {dict(documents.dtypes)['doc_id']}, text_hash long, key long, fp long, part int, n array<long>")
 
 
 def _rows(documents: DataFrame) -> DataFrame:
@@ -208,13 +221,31 @@ def verified(pairs: DataFrame, documents: DataFrame, distinct: DataFrame) -> Dat
     return both.where(9 * common >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def proposed(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets to verify, from the BK-trees: of equal fingerprints, and each one's with the first of its class in a shard."""
+    first = written(distinct.groupBy("own.fp").agg(F.min("key").alias("first")), "fingerprints")
+    near = stars(first.select("fp"), first.count(), radius=RADIUS).distinct()
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    equal = distinct.select("own.fp", F.col("key").alias("x")).join(first.withColumnRenamed("first", "y"), "fp").where("x <> y")
+    both = near.select("x", "y").union(equal.select("x", "y"))
+    return written(both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "proposed")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose sets are not of one class yet."""
+    a, b = (roots.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b"))
+    return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(_a, a) <> coalesce(_b, b)").select("a", "b")
+
+
 def links(documents: DataFrame, prints: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b): sets of one class, enough links to connect all of it."""
-    members, found, step = written(prefixes(documents, prints), "prefixes"), None, 0
+    """(a, b): sets of one class, enough links to connect all of it: those by fingerprint, then the rest."""
+    found = written(verified(proposed(distinct), documents, distinct), "verified")
+    roots = components(found, alone=ALONE)
+    members, step = written(prefixes(documents, prints), "prefixes"), 0
     while True:
         out = written(candidates(members, step), "candidates")
-        new = written(verified(out.where("token IS NULL").select("a", "b").distinct(), documents, distinct), "verified")
-        found = new if found is None else found.union(new)
+        pairs = out.where("token IS NULL").select("a", "b").distinct()
+        found = found.union(written(verified(written(apart(pairs, roots), "pairs"), documents, distinct), "verified"))
         left = out.where("token IS NOT NULL").select("token").distinct()
         if not left.limit(1).count():
             return found
@@ -227,8 +258,8 @@ def links(documents: DataFrame, prints: DataFrame, distinct: DataFrame) -> DataF
 def keep_one(documents: DataFrame) -> DataFrame:
     """Of each class the row of documents with the smallest id, all its columns."""
     prints = written(token_prints(documents), "prints")
-    rows = prints.where("part IS NULL").select("doc_id", "text_hash", "key")
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"))).alias("own")
+    rows = prints.where("part IS NULL").select("doc_id", "text_hash", "key", "fp")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id"), F.col("text_hash"), F.col("fp"))).alias("own")
     distinct = written(rows.groupBy("key").agg(least), "distinct")
     roots = components(links(documents, prints, distinct), alone=ALONE)
     named = distinct.join(roots, distinct["key"] == roots["node"], "left").select("own", F.coalesce("root", "key").alias("root"))

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from affinis.llm import nearcopies
-from affinis.llm.simhash import components
+from affinis.llm.simhash import components, fingerprint
 
 
 def brute_set(text):
@@ -80,3 +80,18 @@ def test_components_alone(spark):
     links = [(rng.randrange(-80, 80), rng.randrange(-80, 80)) for _ in range(70)] + [(-(2**63), 5), (2**63 - 1, 5), (7, 7)]
     for edges in (spark.createDataFrame(links, "a long, b long").repartition(3), spark.createDataFrame([], "a long, b long")):
         assert sorted(components(edges, alone=100).collect()) == sorted(components(edges).collect())
+
+
+def test_trees_find_copies_and_sets_decide(spark, monkeypatch):
+    """Without the search for the rest: what the BK-trees bring together by fingerprint, if the sets are alike."""
+    rng = random.Random(3)
+    none = spark.createDataFrame([], "a long, b long, token long")
+    monkeypatch.setattr(nearcopies, "candidates", lambda members, step: none)
+    rows = []
+    for k in range(20):
+        words = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join([*words[:-1], "end"])), (10 * k + 2, " ".join(["start", *words[1:-1], "end"]))]
+    rows += [(500, "x x x x x"), (501, "x " * 8 + "y")]  # equal fingerprints, a similarity of one half
+    assert fingerprint(rows[-1][1], 5) == fingerprint(rows[-2][1], 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_kept(rows)
