@@ -22,8 +22,9 @@ import html as _html
 import json
 import re
 import zlib
-from bisect import bisect_left
+from math import isqrt
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,8 +53,8 @@ WORDS = frozenset(
 )
 #: Elements below this depth are nodes only if they are the outermost that hide their text or bound a region; texts keep their place.
 DEPTH = 150
-#: Lists of siblings are aligned by a longest common subsequence up to so many pairs, by the next equal token beyond.
-PAIRS = 250_000
+#: Steps of an alignment.
+BOTH, OF_A, OF_B = range(3)
 NOTHING: frozenset[str] = frozenset()
 #: Those of WORDS that hold for an article element itself.
 OF_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related recommended teaser".split())
@@ -205,57 +206,108 @@ def fold(node: Node) -> str:
     return "#" if node.kind == "#" else f"<{node.kind}>{''.join(shapes)}</>"
 
 
-def likeness(a: Node, b: Node) -> int:
-    """0 if the tokens differ; more if what is inside begins alike."""
-    if a.kind != b.kind:
-        return 0
-    x, y = {k.kind for k in a.kids}, {k.kind for k in b.kids}
-    return 3 if x == y else 2 if x & y else 1
+def shape(node: Node) -> tuple[str, frozenset[str]]:
+    return node.kind, frozenset(k.kind for k in node.kids)
 
 
 def aligned(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Both lists in order, equal tokens matched by a longest common subsequence, like ones first."""
+    """Both lists in order, equal tokens matched by a longest common subsequence, like ones first: one rule for lists of any length."""
     if [x.kind for x in a] == [x.kind for x in b]:
         return list(zip(a, b, strict=True))
-    n, m = len(a), len(b)
-    if n * m > PAIRS:
-        return _next_equal(a, b)
-    like = [[likeness(x, y) for y in b] for x in a]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], like[i][j] and like[i][j] + best[i + 1][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and like[i][j] and best[i][j] == like[i][j] + best[i + 1][j + 1]:
-            out.append((a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append((a[i], None))
-            i += 1
-        else:
-            out.append((None, b[j]))
-            j += 1
+    out: list[tuple[Node | None, Node | None]] = []
+    x, y = iter(a), iter(b)
+    for step in _steps(list(map(shape, a)), list(map(shape, b))):
+        out.append((None if step == OF_B else next(x), None if step == OF_A else next(y)))
     return out
 
 
-def _next_equal(a: list[Node], b: list[Node]) -> list[tuple[Node | None, Node | None]]:
-    """Both lists in order, each token of a with the next one of b that is equal, if that passes over no more of b than is left of a."""
-    places: dict[str, list[int]] = {}
-    for j, y in enumerate(b):
-        places.setdefault(y.kind, []).append(j)
-    out: list = []
+def _steps(x: list, y: list):
+    """BOTH, OF_A or OF_B for each step of the alignment of two lists of shapes.
+
+    A pair counts 3 if what is inside begins alike, 2 if it has a token in common, else 1. best[i][j] is the most that x[i:] and y[j:] can count;
+    a step takes a pair if that is best, otherwise leaves one of x if that loses nothing, otherwise one of y.
+    """
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:  # none could count more
+        yield BOTH
+        start += 1
+    x, y = x[start:], y[start:]
+    places: dict[str, dict[frozenset, list[int]]] = {}
+    for j, (kind, inside) in enumerate(y):
+        places.setdefault(kind, {}).setdefault(inside, []).append(j)
+    most = {s: max((_count(s[1], inside) for inside in places.get(s[0], ())), default=0) for s in set(x)}
+    paired = [i for i, s in enumerate(x) if most[s]]  # the others are left as soon as they are met
+    i = j = k = 0
+    for step in _path([x[p] for p in paired], len(y), places, [most[x[p]] for p in paired]):
+        yield from [OF_A] * (paired[k] - i)
+        i = paired[k]
+        yield step
+        if step != OF_B:
+            i, k = i + 1, k + 1
+        j += step != OF_A
+    yield from [OF_A] * (len(x) - i)
+    yield from [OF_B] * (len(y) - j)
+
+
+def _count(a: frozenset[str], b: frozenset[str]) -> int:
+    return 3 if a == b else 2 if a & b else 1
+
+
+def _path(x: list, m: int, places: dict, most: list[int]):
+    """The steps until all of x is passed; places: where each shape stands in the other list of m, most: what each of x counts at most.
+
+    best is made in a band around the diagonal, which grows until no path that leaves it can count as much; rows stand in memory
+    for one block of x at a time and once for each block.
+    """
+    n = len(x)
+    counts: dict[tuple, np.ndarray] = {}
+    lost, total = np.cumsum(sorted(most)), sum(most)
+    size, width = max(64, 2 * isqrt(n)), 16
+    never = np.int32(-(1 << 30))
+
+    def count(s):
+        if s not in counts:
+            if len(counts) * m > 1 << 23:
+                counts.clear()
+            counts[s] = np.zeros(m + 1, np.int32)
+            for inside, at in places[s[0]].items():
+                counts[s][at] = _count(s[1], inside)
+        return counts[s]
+
+    def rows(row, low, high, steps=None):
+        """From best[high] to best[low], in place; steps: for each i the first j of the band, and from there on 1 for a pair, 2 if leaving x[i] loses nothing."""
+        for i in range(high - 1, low - 1, -1):
+            first, end = max(0, i + left), min(m, i + right) + 1
+            own = count(x[i])[first:end]
+            pair = row[first + 1 : end + 1] + own
+            best = np.maximum.accumulate(np.maximum(row[first:end], pair)[::-1])[::-1]
+            if steps is not None:
+                steps[i] = first, ((best == pair) & (own > 0)) + 2 * (row[first:end] >= np.append(best[1:], never)).astype(np.int8)
+            row[first:end] = best
+            row[end : end + 1] = never
+
+    while n:
+        left, right = min(0, m - n) - width, max(0, m - n) + width
+        row, held, steps = np.full(m + 2, never), {}, {}
+        row[max(0, n + left) : m + 1] = 0
+        for low in range((n - 1) // size * size, -1, -size):
+            held[low] = row.copy() if low else None
+            rows(row, low, min(n, low + size), None if low else steps)
+        leave = width + 1 + max(0, n - m)  # so many of x a path outside the band leaves at least
+        if leave > n or total - lost[leave - 1] < row[0]:
+            break
+        width *= 4
     j = 0
-    for i, x in enumerate(a):
-        own = places.get(x.kind, [])
-        k = bisect_left(own, j)
-        if k < len(own) and own[k] - j <= len(a) - i:
-            out += [(None, y) for y in b[j : own[k]]]
-            out.append((x, b[own[k]]))
-            j = own[k] + 1
-        else:
-            out.append((x, None))
-    return out + [(None, y) for y in b[j:]]
+    for i in range(n):
+        if i not in steps:
+            steps.clear()
+            rows(held.pop(i), i, min(n, i + size), steps)
+        first, codes = steps[i]
+        while not (code := int(codes[j - first])):
+            yield OF_B
+            j += 1
+        yield BOTH if code & 1 else OF_A
+        j += code & 1
 
 
 def merge(a: Node, b: Node, *, same_page: bool = False) -> Node:

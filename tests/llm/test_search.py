@@ -288,3 +288,51 @@ def test_deep_long_and_broken_pages_take_linear_time(spark):
     for k, n in ((3, 20_000), (4, 15_000)):
         assert out[k] == " ".join(f"a{i} b{i}" for i in range(n))
     assert out[5].startswith("one")
+
+
+def best_alignment(a, b):
+    """Pairs of positions by the whole table of what the rest of both lists can count."""
+
+    def count(x, y):
+        x, y = ({k.kind for k in n.kids} if n.kind == y.kind else None for n in (x, y))
+        return 0 if x is None else 3 if x == y else 2 if x & y else 1
+
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            c = count(a[i], b[j])
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], c and c + best[i + 1][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        c = count(a[i], b[j]) if i < len(a) and j < len(b) else 0
+        if c and best[i][j] == c + best[i + 1][j + 1]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif j >= len(b) or (i < len(a) and best[i + 1][j] >= best[i][j + 1]):
+            out.append((i, None))
+            i += 1
+        else:
+            out.append((None, j))
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("most", [12, 60, 700])
+def test_alignment_is_one_rule_at_any_length(most):
+    rng = random.Random(most)
+
+    def siblings(n, kinds):
+        out = [wrappers.Node(rng.choice(kinds)) for _ in range(n)]
+        for x in out:
+            x.kids = [wrappers.Node(k) for k in rng.sample("uvw", rng.randrange(3))]
+        return out
+
+    for t in range(3 if most == 700 else 40):
+        a = siblings(most if most == 700 else rng.randrange(most), "pqrs"[: 1 + rng.randrange(4)] + "z")
+        b = list(a) if t % 3 else siblings(most, "pqrsx")
+        for _ in range(rng.randrange(8)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randrange(9)] = siblings(rng.randrange(9), "pqrsx")
+        b = [wrappers.load(wrappers.dump(y)) for y in b]
+        at = {id(x): k for nodes in (a, b) for k, x in enumerate(nodes)} | {id(None): None}
+        assert [(at[id(x)], at[id(y)]) for x, y in wrappers.aligned(a, b)] == ([(k, k) for k in range(len(a))] if [x.kind for x in a] == [y.kind for y in b] else best_alignment(a, b))
